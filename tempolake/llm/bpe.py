@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CACHE_WORDS = 1_000_000
-CACHE_BYTES = 64 << 20
+CACHE_WORDS = 500_000
+CACHE_BYTES = 32 << 20
+#: Texts are encoded in slices of about so many characters; this bounds a task's memory.
+SLICE_CHARS = 8_000_000
 #: No pair, or none that a merge makes.
 NONE = np.int64(1) << 40
 
@@ -225,10 +227,10 @@ def encode(
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             texts = [t or "" for t in column.to_pylist()]
-            for a, b in _slices(texts, 32_000_000):
+            for a, b in _slices(texts, SLICE_CHARS):
                 coded = coder.encode(texts[a:b])
                 at = a
-                for c, d in _slices(texts[a:b], 4_000_000):
+                for c, d in _slices(texts[a:b], SLICE_CHARS // 4):
                     part = coded[c:d]
                     out = [batch.column(i).slice(at, d - c) for i in range(len(rest))]
                     out.append(pa.array([len(x) for x in part], pa.int64()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality_rules, sharding
+from . import bpe, jaccard, line_dedup, quality_rules, sharding
 from .shared import table
 
 
@@ -41,8 +41,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op6_line_dedup, op8_byte_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op5_sharding, op6_line_dedup, op8_byte_bpe, op9_ngram_jaccard, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -129,7 +129,7 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
 
 def whole(h: np.ndarray) -> np.uint64:
     """A hash of a sequence of fewer words than a shingle has."""
-    out = np.uint64(len(h)) * _ODD[5]
-    for x in h:
-        out = mix(np.array([out * _ODD[6] + x], dtype=np.uint64))[0]
-    return out
+    out = np.full(1, len(h), dtype=np.uint64) * _ODD[5]
+    for i in range(len(h)):
+        out = mix(out * _ODD[6] + h[i : i + 1])
+    return out[0]

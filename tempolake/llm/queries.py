@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, line_dedup, quality_rules, sharding, substring
+from . import bpe, jaccard, line_dedup, mixing, quality_rules, sharding, substring
 from .shared import table
 
 
@@ -50,8 +50,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixed.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken", "n_blocks", "first_shard")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op5_sharding, op6_line_dedup, op8_byte_bpe, op9_ngram_jaccard, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_sharding, op6_line_dedup, op8_byte_bpe, op9_ngram_jaccard, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, line_dedup, mixing, quality_rules, sharding, substring
+from . import bpe, jaccard, line_dedup, mixing, quality_rules, sharding, substring, topk
 from .shared import table
 
 
@@ -55,8 +55,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken", "n_blocks", "first_shard")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
+    found = topk.exact_top_k(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_sharding, op6_line_dedup, op8_byte_bpe, op9_ngram_jaccard, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_sharding, op6_line_dedup, op7_exact_top_k, op8_byte_bpe, op9_ngram_jaccard, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

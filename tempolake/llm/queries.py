@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, line_dedup, mixing, quality_rules, sharding, substring, topk
+from . import bpe, jaccard, line_dedup, mixing, quality_gam, quality_rules, sharding, substring, topk
 from .shared import table
 
 
@@ -42,7 +42,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,13 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_gam.score(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_sharding, op6_line_dedup, op7_exact_top_k, op8_byte_bpe, op9_ngram_jaccard, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_gam, op3_mixing, op5_sharding, op6_line_dedup, op7_exact_top_k, op8_byte_bpe, op9_ngram_jaccard, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

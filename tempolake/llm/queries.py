@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, line_dedup, mixing, quality_gam, quality_rules, sharding, substring, topk
+from . import bpe, jaccard, language, line_dedup, mixing, quality_gam, quality_rules, sharding, substring, topk
 from .shared import table
 
 
@@ -66,8 +66,29 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = language.train(docs, "doc_id", "text", "lang")
+    found = language.identify(docs, model, declared=F.col("lang"), host=F.col("source"), suffix=language.suffix_of(F.col("source")), keep_text=False)
+    return found.select("doc_id", F.col("lang").alias("declared"), "language", F.round("posterior", 6).alias("posterior"), F.col("accepted").alias("kept"))
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language ID of raw web pages: the text model of documents, the markup's lang attribute, and the address."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    declared = F.nullif(F.lower(F.regexp_extract("html", r"""(?i)<html[^>]*\blang\s*=\s*["']?([a-zA-Z]+)""", 1)), F.lit(""))
+    host = F.nullif(F.lower(F.regexp_extract("url", r"(?i)^[a-z]+://([^/:?#]+)", 1)), F.lit(""))
+    rows = pages.select("page_id", bare.alias("text"), declared.alias("declared"), host.alias("host"))
+    found = language.identify(
+        rows, language.train(docs, "doc_id", "text", "lang"), declared=F.col("declared"), host=F.col("host"), suffix=language.suffix_of(F.col("host")), keep_text=False
+    )
+    return found.select("page_id", "declared", "host", "language", F.round("posterior", 6).alias("posterior"), F.col("accepted").alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_gam, op3_mixing, op5_sharding, op6_line_dedup, op7_exact_top_k, op8_byte_bpe, op9_ngram_jaccard, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_gam, op3_mixing, op4_language_id, op5_sharding, op6_line_dedup, op7_exact_top_k, op8_byte_bpe, op9_ngram_jaccard, op10_quality_rules, page_language)}
 
 
 def oracle_sql() -> dict[str, str]:

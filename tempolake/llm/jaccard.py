@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -34,6 +34,8 @@ from .shared import stored
 
 #: The most shingles that a task of a family takes from one of its two cells.
 CELL_TOKENS = 2_000_000
+#: Signatures are hot beyond a share 1 / HOT of all, in a sample of one in SAMPLE documents.
+HOT, SAMPLE = 2048, 16
 #: The rows of a class are joined in so many parts.
 SALTS = 16
 
@@ -219,7 +221,32 @@ def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile").select("tile", "cell", "cross", "node", "tokens").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def _alike(live: DataFrame) -> DataFrame:
+    """(d1, lead): every set with another one, the same for all sets that share a signature.
+
+    One shuffle by signature serves. Signatures that more than a share 1 / HOT of a
+    sample has (at most HOT, whatever the table) are taken out of it and meet their leads in a broadcast."""
+    rows = live.select("id", F.explode("sigs").alias("sig"), "d1")
+    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("sig").count()
+    total = drawn.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hot = [r.sig for r in drawn.filter(F.col("count") > max(16, total / HOT)).select("sig").collect()]  # HOT rows at most
+    spark = live.sparkSession
+    rows = rows.drop("id")
+    same = Window.partitionBy("sig")
+    cold = rows
+    if hot:
+        cold = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in hot], "sig long")), "sig", "left_anti")
+    edges = cold.withColumn("lead", F.min("d1").over(same)).filter("d1 <> lead").select("d1", "lead")
+    if hot:
+        of_hot = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in hot], "sig long")), "sig")
+        leads = of_hot.groupBy("sig").agg(F.min("d1").alias("lead")).collect()  # HOT rows at most
+        edges = edges.union(
+            of_hot.join(F.broadcast(spark.createDataFrame([tuple(r) for r in leads], "sig long, lead long")), "sig").filter("d1 <> lead").select("d1", "lead")
+        )
+    return edges.distinct()
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id): the components of all links num / den and more.
 
     Documents of fewer than n words have the whole sequence as their one shingle; those
@@ -230,10 +257,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     signed = stored(_signed(df, id_col, text, n, num, den))
     live = signed.filter("id IS NOT NULL AND n_shingles > 0")
     classes = live.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("rows"))
-    rows = live.select(F.explode("sigs").alias("sig"), "d1")
-    repeated = rows.groupBy("sig").agg(F.min("d1").alias("lead"), F.max("d1").alias("last")).filter("lead < last").drop("last")
-    alike = rows.join(repeated, "sig").filter("d1 <> lead").select("d1", "lead").distinct()
-    families = components(alike, "d1", "lead").withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
+    families = components(_alike(live), "d1", "lead").withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
     candidates = stored(classes.join(families, "d1").select("node", "size", F.col("d1").alias("e1"), F.col("d2").alias("e2"), "family"))
     weights = candidates.groupBy("family").agg(F.ceil(F.sum("size") / CELL_TOKENS).cast("int").alias("cells"))
     wanted = candidates.join(weights, "family")

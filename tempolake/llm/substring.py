@@ -32,7 +32,8 @@ _LAST = 2**63 - 1
 
 def anchors(block: K.Block, length: int, seed: int) -> tuple[np.ndarray, ...]:
     """(document in the block, anchor hash, span hash, first window, last window) of each
-    run of windows that pick the same anchor; windows count from 0 in their document."""
+    run of windows that pick the same anchor, or equal anchors in equal spans; windows count
+    from 0 in their document."""
     h = block.word_hashes()
     w = window_hashes(h, length)
     g = K.shingles(h, seed)
@@ -59,7 +60,13 @@ def anchors(block: K.Block, length: int, seed: int) -> tuple[np.ndarray, ...]:
     a, b, anchor = at[start], at[stop], place[start]
     # two windows that overlap and their places tell the whole span
     span = K.chain(K.chain(w[a], w[b], 201), (b - a).astype(np.uint64) * np.uint64(1 << 20) + (anchor - a).astype(np.uint64), 202)
-    return d, K.mix(g[anchor]).view(np.int64), span.view(np.int64), a - block.first[d], b - block.first[d]
+    # one word or a few that repeat pick equal anchors in equal spans again and again: one row for them all
+    seed_hash = K.mix(g[anchor])
+    other = np.r_[True, (seed_hash[1:] != seed_hash[:-1]) | (span[1:] != span[:-1]) | (d[1:] != d[:-1])]
+    start = np.flatnonzero(other)
+    stop = np.append(start[1:], len(d)) - 1
+    d = d[start]
+    return d, seed_hash[start].view(np.int64), span[start].view(np.int64), a[start] - block.first[d], b[stop] - block.first[d]
 
 
 def window_hashes(h: np.ndarray, length: int) -> np.ndarray:

@@ -88,8 +88,8 @@ def _seeds(batches, length: int, seed: int):
 def _windows(batches, length: int):
     """The hash of every window of the documents' open spans."""
     for batch in batches:
-        firsts, lasts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        for block in K.blocks(K.column(batch, "text")):
+        firsts, lasts = batch.column("firsts").to_pylist(), batch.column("lasts").to_pylist()
+        for block in K.blocks(K.column(batch, "__text")):
             w = window_hashes(block.word_hashes(), length).view(np.int64)
             rows, places = [], []
             for i in range(block.n):
@@ -173,9 +173,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     opened = keyed.join(
         open_.select(F.col("doc").alias("o_doc"), F.col("t").alias("o_t"), "firsts", "lasts").hint("shuffle_hash"), (F.col("doc") == F.col("o_doc")) & (F.col("t") == F.col("o_t"))
     )
-    windows = stored(
-        opened.select("doc", "t", F.col("__text").alias("text"), "firsts", "lasts").mapInArrow(lambda it: _windows(it, length), "doc long, t long, window long, first int")
-    )
+    # all columns go in, so that this and the last step share one shuffle of the texts
+    windows = opened.mapInArrow(lambda it: _windows(it, length), "doc long, t long, window long, first int")
     owners = windows.groupBy("window").agg(F.min("doc").alias("owner"), F.max("doc").alias("tail")).filter("owner < tail").select("window", "owner")
     part = windows.join(owners, "window").filter("doc > owner").select("doc", "t", "first", F.col("first").alias("last"))
     gone = whole.union(part).groupBy("doc", "t").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))

@@ -16,19 +16,21 @@ def merge_latest(log: DataFrame, key: str = "key", strategy: str = "max_by") ->
     return winners(log, "ts", key, strategy).filter("op = 0")
 
 
-def merge_history(log: DataFrame, key: str = "key", bottom: bool = False) -> DataFrame:
+def merge_history(log: DataFrame, key: str = "key", horizon: int | None = None) -> DataFrame:
     """A merge that keeps every (key, ts), as last written.
 
-    With ``bottom`` (no version of these keys is left outside), tombstones that nothing precedes go too."""
+    A tombstone may hide a put that is yet to come, as any time may be written at any time. Only if
+    nothing before ``horizon`` is written any more, and no version of these keys is left outside, do
+    tombstones before it that nothing precedes go too."""
     rank = [c for c in ("seqno", "op_index") if c in log.columns]
     rest = [c for c in log.columns if c not in (key, "ts")]
     one = log.groupBy(key, "ts").agg(F.max_by(F.struct(*rest), F.struct(*rank)).alias("__r"))
     one = one.select(key, "ts", *[F.col(f"__r.{c}").alias(c) for c in rest])
-    if not bottom:
+    if horizon is None:
         return one
     first_put = one.filter("op = 0").groupBy(key).agg(F.min("ts").alias("__put")).withColumnRenamed(key, "__k")
     kept = one.join(first_put, F.col(key) == F.col("__k"), "left")
-    return kept.filter((F.col("op") == 0) | (F.col("ts") > F.col("__put"))).drop("__k", "__put")
+    return kept.filter((F.col("op") == 0) | (F.col("ts") >= horizon) | F.coalesce(F.col("ts") > F.col("__put"), F.lit(False))).drop("__k", "__put")
 
 
 def rotation_segments(log: DataFrame, limit: int, order: str, group: Column | None = None, key: str = "key", value: str = "value", per_range: int = 1 << 16) -> DataFrame:

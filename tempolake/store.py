@@ -39,6 +39,8 @@ class Options:
     compaction: CompactionOptions = field(default_factory=CompactionOptions)
     #: "history" keeps all versions in a compaction, "latest" the newest of each key only.
     retention: str = "history"
+    #: No version of a time before this is written any more, so compaction may forget old tombstones.
+    horizon: int | None = None
     #: Bulk appends aim at files of about so many bytes.
     bulk_file_bytes: int = 256 << 20
 
@@ -245,7 +247,7 @@ class Store:
         if self.options.retention == "latest":
             merged = maintenance.merge_latest(rows) if bottom else maintenance.winners(rows)
         else:
-            merged = maintenance.merge_history(rows, bottom=bottom)
+            merged = maintenance.merge_history(rows, horizon=self.options.horizon if bottom else None)
         files = self._write(merged, job.target, job.n_outputs(self.options.compaction))
         gone = {f.path for f in job.inputs}
         while not self._commit(add=files, remove=gone):

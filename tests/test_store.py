@@ -1,0 +1,283 @@
+"""The store end to end: versions, deletes, batches, recovery, compaction, and the errors of its interface."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tempolake.model import MAX_TS, CommitConflict, EncodingError, InvalidKey, InvalidLimit, InvalidTimestamp, KeyNotFound, StoreError, WriteBatch, WriteStalled
+from tempolake.plans.compaction import CompactionOptions
+from tempolake.store import Options, Store, rest_answer
+
+
+def value(store, key, ts):
+    found = store.get_bytes(key, ts)
+    return None if found is None else found.decode()
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return Store.open(spark, f"file://{tmp_path}/db")
+
+
+def test_versions_by_time(store):
+    for ts, v in ((100, "value1"), (101, "value2")):
+        store.put("mykey", v, ts)
+    answers = lambda: [value(store, "mykey", t) for t in (99, 100, 101, 500)]
+    assert answers() == [None, "value1", "value2", "value2"]
+    store.flush()
+    assert answers() == [None, "value1", "value2", "value2"]
+
+
+def test_history_survives_compaction(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/db", Options(compaction=CompactionOptions(l0_trigger=2)))
+    store.put("mykey", "value1", 100)
+    store.flush()
+    store.put("mykey", "value2", 101)
+    store.flush()
+    assert store.compact() == 1
+    assert store.stats()["levels"][1]["files"] == 1
+    assert [value(store, "mykey", t) for t in (99, 100, 101)] == [None, "value1", "value2"]
+
+
+def test_latest_retention_keeps_one_version(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/db", Options(retention="latest", compaction=CompactionOptions(l0_trigger=2)))
+    store.put("a", "1", 10), store.put("b", "1", 10)
+    store.flush()
+    store.put("a", "2", 20), store.delete("b", 20)
+    store.flush()
+    store.compact()
+    assert value(store, "a", 15) is None and value(store, "a", 20) == "2" and value(store, "b", 30) is None
+    assert store.log().count() == 1
+
+
+def test_delete_reaches_flushed_data(store):
+    store.put("key1", "v", 1000)
+    store.flush()
+    store.delete("key1", 2000)
+    assert value(store, "key1", 1500) == "v" and value(store, "key1", 2000) is None
+    store.flush()
+    assert value(store, "key1", 3000) is None
+    store.put("key1", "again", 4000)
+    assert value(store, "key1", 5000) == "again" and value(store, "key1", 2500) is None
+
+
+def test_late_write_does_not_hide_a_newer_time(store):
+    store.put("k", "new", 200)
+    store.flush()
+    store.put("k", "late", 150)
+    assert value(store, "k", 300) == "new" and value(store, "k", 175) == "late"
+
+
+def test_mixed_batch_is_one_write(store):
+    batch = WriteBatch()
+    for i in range(10):
+        batch.put(f"batch_key{i}", f"v{i}", i * 100)
+    for i in (5, 6, 7):
+        batch.delete(f"batch_key{i}", i * 100 + 50)
+    store.write_batch(batch)
+    for i in range(10):
+        assert value(store, f"batch_key{i}", i * 100 + 50) == (None if i in (5, 6, 7) else f"v{i}")
+    assert {r.seqno for r in store.log().select("seqno").distinct().collect()} == {1}
+    assert store.write_batch(WriteBatch()) == 0
+    assert len(batch) == 13 and batch.size == sum(33 + len(k) + len(v) for k, _, _, v in batch)
+    batch.clear()
+    assert not len(batch)
+
+
+def test_put_and_delete_of_one_time_follow_the_batch_order(store):
+    store.write_batch(WriteBatch().put("k", "v", 5).delete("k", 5))
+    assert value(store, "k", 5) is None
+    store.write_batch(WriteBatch().delete("k", 5).put("k", "w", 5))
+    assert value(store, "k", 5) == "w"
+
+
+def test_ranges(store):
+    for i in range(10):
+        for j in range(5):
+            store.put(f"sensor_{i:03d}", f"reading_{i}_{j}", j * 1000)
+    box = store.range("sensor_002", "sensor_007", 1000, 3000).collect()
+    assert [bytes(r.key).decode() for r in box] == [f"sensor_{i:03d}" for i in range(2, 8)] and {r.ts for r in box} == {3000}
+    assert store.range_versions("sensor_002", "sensor_007", 1000, 3000).count() == 18
+    assert store.range("sensor_005", "sensor_005", 2000, 2000).count() == 1
+    store.delete("sensor_005", 2500)
+    assert store.range("sensor_005", "sensor_005", 0, 3000).count() == 1  # the version at 3000
+    assert store.range("sensor_005", "sensor_005", 0, 2700).count() == 0
+
+
+def test_reopen_and_recover(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    store = Store.open(spark, path)
+    for i in range(20):
+        store.put(f"key{i:03d}", f"v{i}", i * 1000)
+    store.flush()
+    store.put("sensor1", "temp=26.0", 3000)  # only in the write-ahead segment
+    again = Store.open(spark, path)
+    assert value(again, "sensor1", 3000) == "temp=26.0" and value(again, "key007", 7000) == "v7"
+    assert again.put("x", "y", 1) > 21
+    again.close()
+    with pytest.raises(StoreError):
+        again.get("x")
+    third = Store.open(spark, path)
+    assert value(third, "x", 1) == "y" and not third.manifest.files.names("_wal")
+
+
+def test_broken_segment_is_left_out(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    store = Store.open(spark, path)
+    store.put("a", "1", 1)
+    store.manifest.files.create("_wal/000000000002.json", b"[[\"torn")
+    again = Store.open(spark, path)
+    assert value(again, "a", 1) == "1"
+    again.put("b", "2", 2)
+    assert value(Store.open(spark, path), "b", 2) == "2"
+
+
+def test_lost_manifest_is_rebuilt(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    store = Store.open(spark, path)
+    for i in range(2):
+        store.put(f"k{i}", str(i), 10)
+        store.flush()
+    for name in store.manifest.files.names("_manifest"):
+        store.manifest.files.delete(f"_manifest/{name}")
+    again = Store.open(spark, path)
+    assert [value(again, f"k{i}", 10) for i in range(2)] == ["0", "1"]
+    assert again.put("k0", "later", 10) > 2 and value(again, "k0", 10) == "later"
+
+
+def test_snapshot_of_an_earlier_version(store):
+    store.put("a", "1", 1)
+    first = store.flush().number
+    store.put("a", "2", 2), store.put("b", "1", 1)
+    store.flush()
+    assert {(bytes(r.key), bytes(r.value)) for r in store.snapshot(version=first).collect()} == {(b"a", b"1")}
+    assert store.snapshot().count() == 2
+    with pytest.raises(ValueError):
+        store.manifest.at(99)
+
+
+def test_two_writers(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    one, two = Store.open(spark, path), Store.open(spark, path)
+    a, b = one.put("k", "one", 5), two.put("k", "two", 5)
+    assert a < b
+    one.flush(), two.flush()
+    assert value(Store.open(spark, path), "k", 5) == "two"
+    base = one.manifest.at(1)
+    with pytest.raises(CommitConflict):
+        one.manifest.commit(base)
+
+
+def test_checkpoint_of_the_manifest(store, monkeypatch):
+    monkeypatch.setattr("tempolake.plans.manifest.CHECKPOINT", 3)
+    for i in range(4):
+        store.put(f"k{i}", "v", i)
+        store.flush()
+    assert len(store.manifest.at().files) == 4 and len(store.manifest.at(2).files) == 2
+
+
+def test_bulk_append_and_vacuum(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/db", Options(bulk_file_bytes=20_000, compaction=CompactionOptions(l0_trigger=2)))
+    rows = spark.range(1000).select(F.format_string("k%05d", "id").alias("key"), F.lit(7).alias("ts"), F.lit("v").alias("value"))
+    store.append(rows)
+    store.append(rows.withColumn("ts", F.lit(9)).withColumn("op", F.lit(1)))
+    assert store.snapshot(8).count() == 1000 and store.snapshot(9).count() == 0
+    assert len(store.version.prune(b"k00000", b"k00000")) < len(store.version.files)
+    store.compact()
+    assert store.snapshot(8).count() == 1000 and store.snapshot(9).count() == 0
+    assert store.vacuum() > 0 and store.snapshot(8).count() == 1000
+    with pytest.raises(Exception, match="ts"):
+        store.append(rows.withColumn("ts", F.lit(-1)))
+    with pytest.raises(Exception, match="key"):
+        store.append(rows.withColumn("key", F.lit(None).cast("string")))
+
+
+def test_stall_and_stats(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/db", Options(compaction=CompactionOptions(l0_slow=2, l0_stop=3)))
+    for i in range(3):
+        store.put("k", "v", i)
+        store.flush()
+    assert store.slowed and store.stats()["levels"][0]["files"] == 3
+    with pytest.raises(WriteStalled):
+        store.put("k", "v", 9)
+
+
+def test_staged_writes_flush_by_themselves(spark, tmp_path):
+    store = Store.open(spark, f"file://{tmp_path}/db", Options(memtable_bytes=100))
+    store.put("k", "x" * 100, 1)
+    assert store.stats()["staged_rows"] == 0 and store.stats()["levels"][0]["files"] == 1
+
+
+def test_unusual_keys_and_values(store):
+    for k, v in (("", ""), ("键🔑", "值"), ("x" * 1000, "y" * 100_000), (b"\xff\xfe", b"\x00\xff")):
+        store.put(k, v, 1)
+        assert store.get_bytes(k, 1) == (v.encode() if isinstance(v, str) else v)
+    with pytest.raises(EncodingError):
+        store.get(b"\xff\xfe", 1)
+    with pytest.raises(InvalidKey):
+        store.put("k" * 65_536, "v", 1)
+    assert [s["key"] for s in store.list()["series"]] == ["", "x" * 1000, "键🔑"]
+
+
+def test_interface(store):
+    assert store.set({"key": "t/1", "value": "23.5", "timestamp": 1_641_024_000}) == "OK"
+    store.set({"key": "t/1", "value": "24.1", "timestamp": 1_641_024_060})
+    store.set({"key": "u", "value": "65.2", "timestamp": 1_641_024_000})
+    assert store.get("t/1", 1_641_024_059) == {"key": "t/1", "value": "23.5", "timestamp": 1_641_024_059, "version_ts": 1_641_024_000}
+    assert store.get("t/1")["value"] == "24.1"
+    with pytest.raises(KeyNotFound):
+        store.get("nothing", 5)
+    for bad in (-1, MAX_TS + 1):
+        with pytest.raises(InvalidTimestamp):
+            store.put("k", "v", bad)
+    with pytest.raises(InvalidTimestamp):
+        store.get("u", -1)
+    for bad in (0, -1, 1001):
+        with pytest.raises(InvalidLimit):
+            store.list(limit=bad)
+    assert rest_answer(lambda: store.get("nothing", 5))[0] == 404
+    assert rest_answer(lambda: store.list(limit=0))[0] == 400
+    assert rest_answer(lambda: store.get("u", 1_641_024_000))[0] == 200
+
+
+def test_list(store):
+    for k in ("a", "ab", "ac", "b", "ba"):
+        store.put(k, k.upper(), 10)
+    store.put("ad", "later", 2**62)
+    assert [s["key"] for s in store.list("a")["series"]] == ["a", "ab", "ac"]  # neither "b" nor what lies ahead
+    assert [s["key"] for s in store.list("")["series"]] == ["a", "ab", "ac", "b", "ba"]
+    page = store.list(limit=2)
+    assert [s["key"] for s in page["series"]] == ["a", "ab"] and page["has_more"]
+    assert [s["key"] for s in store.list(limit=3, after="ab")["series"]] == ["ac", "b", "ba"]
+    assert not store.list(limit=5)["has_more"]
+    store.delete("ab", 11)
+    assert [s["key"] for s in store.list("a")["series"]] == ["a", "ac"]
+
+
+def test_random_log_against_a_model(spark, tmp_path):
+    """Whatever is flushed and compacted in between, answers follow the log alone."""
+    rng = random.Random(5)
+    store = Store.open(spark, f"file://{tmp_path}/db", Options(compaction=CompactionOptions(l0_trigger=2, file_bytes=300)))
+    log = []
+    for step in range(60):
+        k, ts, gone = f"k{rng.randrange(6)}", rng.randrange(50), rng.random() < 0.25
+        store.delete(k, ts) if gone else store.put(k, str(step), ts)
+        log.append((k, ts, step, None if gone else str(step)))
+        if rng.random() < 0.12:
+            store.flush()
+        if rng.random() < 0.06:
+            store.compact()
+    for at in (0, 10, 25, 49):
+        expected = {}
+        for k, ts, step, v in sorted((x for x in log if x[1] <= at), key=lambda x: (x[1], x[2])):
+            expected[k] = v
+        got = {bytes(r.key).decode(): bytes(r.value).decode() for r in store.snapshot(at).collect()}
+        assert got == {k: v for k, v in expected.items() if v is not None}
+
+
+def test_get_many(spark, store):
+    store.put("a", "1", 10), store.put("a", "2", 20), store.delete("a", 30)
+    probes = spark.createDataFrame([("a", t) for t in (5, 10, 25, 30, 99)] + [("z", 1)], "key string, at long")
+    got = {(bytes(r.key), r.at): None if r.found_value is None else bytes(r.found_value) for r in store.get_many(probes, 7).collect()}
+    assert got == {(b"a", 5): None, (b"a", 10): b"1", (b"a", 25): b"2", (b"a", 30): None, (b"a", 99): None, (b"z", 1): None}

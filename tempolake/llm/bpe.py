@@ -21,8 +21,11 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import hidden
+
 CACHE_WORDS = 500_000
 CACHE_BYTES = 32 << 20
 #: Texts are encoded in slices of about so many characters; this bounds a task's memory.
@@ -129,9 +132,8 @@ class Merges:
             rank[left] = self.lookup(sym[left], sym[after[left]])
             enter(np.concatenate([at[more], left]))
         alive = sym >= 0
-        count = np.add.reduceat(alive.astype(np.int64), np.minimum(end - size, n - 1))
-        count[size == 0] = 0
-        return sym[alive], count
+        total = np.concatenate([[0], np.cumsum(alive)])
+        return sym[alive], total[end] - total[end - size]
 
 
 class Encoder:
@@ -214,9 +216,9 @@ def encode(
     session = df.sparkSession
     added = {ids, n_tokens, *([decoded] if decoded else [])}
     rest = [c for c in df.columns if c not in added and (keep_text or c != text)]
-    source = df.select(*[df[f"`{c}`"] for c in rest], df[f"`{text}`"].cast("string").alias("__text"))
+    source = df.select(*hidden(rest), F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType(
-        [source.schema[c] for c in rest]
+        [df.schema[c] for c in rest]
         + [T.StructField(n_tokens, T.LongType()), T.StructField(ids, T.BinaryType())]
         + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
     )
@@ -246,8 +248,8 @@ def encode(
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the bytes that packed ``ids`` stand for; null ids give null."""
     rest = [c for c in df.columns if c != decoded]
-    source = df.select(*[df[f"`{c}`"] for c in rest])
-    schema = T.StructType([source.schema[c] for c in rest] + [T.StructField(decoded, T.BinaryType())])
+    source = df.select(*hidden(rest))
+    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(decoded, T.BinaryType())])
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .shared import stored
+from .shared import hidden, stored
 
 #: Trigrams are hashed to 2 to this power cells; a text speaks with the weight of this many trigrams at most.
 BITS, WEIGHT = 16, 60.0
@@ -133,12 +133,13 @@ def identify(
     none = F.lit(None).cast("string")
     rest = [c for c in df.columns if c not in {"language", "posterior", "accepted"}]
     parts = {"__declared": declared, "__host": host, "__suffix": suffix}
-    source = df.select(*[F.col(f"`{c}`") for c in rest], *[(none if c is None else c.cast("string")).alias(k) for k, c in parts.items()])
+    source = df.select(*hidden(rest), *[(none if c is None else c.cast("string")).alias(k) for k, c in parts.items()])
+    body = f"r_{rest.index(text)}"
     languages, k = model.languages, len(model.languages)
-    kept = [c for c in rest if keep_text or c != text]
+    kept = [F.col(f"r_{i}").alias(c) for i, c in enumerate(rest) if keep_text or c != text]
     if not k:
-        return source.select(*[F.col(f"`{c}`") for c in kept], none.alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
-    told = source.select("__declared", "__host", "__suffix", F.col(f"`{text}`").alias("__b"))
+        return source.select(*kept, none.alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("accepted"))
+    told = source.select("__declared", "__host", "__suffix", F.col(body).alias("__b"))
     counts = stored(with_evidence(told, "__b", model, keep_text=False).filter("__best IS NOT NULL").groupBy("__declared", "__host", "__suffix", "__best").agg(F.count(F.lit(1)).alias("n")))
     whole = counts.agg(*[F.sum(F.when(F.col("__best") == x, F.col("n")).otherwise(0)) for x in languages]).first()
     total = [float(x or 0) for x in whole]
@@ -153,7 +154,7 @@ def identify(
     def add(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
         return rows.join(table.withColumnRenamed(key, f"{key}_key"), F.col(key) == F.col(f"{key}_key"), "left").drop(f"{key}_key")
 
-    rows = with_evidence(source, text, model, keep_text=keep_text)
+    rows = with_evidence(source, body, model, keep_text=keep_text)
     for table, key in ((hosts, "__host"), (groups, "__suffix"), (said, "__declared")):
         rows = add(rows, table, key)
     zero = array([0.0] * k)
@@ -171,6 +172,6 @@ def identify(
     posterior = 1.0 / F.aggregate("__log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))
     place = F.array_position("__log", F.col("__top")).cast("int")
     return rows.select(
-        *[F.col(f"`{c}`") for c in kept], F.get(F.array(*[F.lit(x) for x in languages]), place - 1).alias("language"), posterior.alias("posterior"),
+        *kept, F.get(F.array(*[F.lit(x) for x in languages]), place - 1).alias("language"), posterior.alias("posterior"),
         ((F.col("__trigrams") > 0) & (posterior >= min_posterior)).alias("accepted"),
     )

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, stored
+from .shared import hidden, shared_dir, stored
 
 _SPACES = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,13 +115,13 @@ def dedup_lines(
     for b in range(n_batches):
         runs.add(lines.filter(F.col("batch") == b).select("k1", "k2", "doc"))
     lost = runs.split(lines.drop("batch"), min_docs, "left_semi").groupBy("doc", "t").agg(F.collect_set("pos").alias("lost"))
-    joined = df.select(*[F.col(f"`{c}`") for c in rest], body.alias("__body"), doc.alias("__doc"), F.xxhash64(body).alias("__t")).join(
+    joined = df.select(*hidden(rest), body.alias("__body"), doc.alias("__doc"), F.xxhash64(body).alias("__t")).join(
         lost.hint("shuffle_hash"), (F.col("__doc") == F.col("doc")) & (F.col("__t") == F.col("t")), "left"
     )
     parts = joined.withColumn("__lines", F.split("__body", "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "lost")
     changed = F.when(F.col("lost").isNull(), F.col("__body")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
     return parts.select(
-        *[F.col(f"`{c}`") if c != text else changed.alias(text) for c in df.columns if c in {*rest, text}],
+        *[F.col(f"r_{rest.index(c)}").alias(c) if c != text else changed.alias(text) for c in df.columns if c in {*rest, text}],
         F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"),
     )

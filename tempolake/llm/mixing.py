@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, n_words, stored
+from .shared import WORD, hidden, n_words, stored
 
 #: Hash ranges of a source hold about so many words; there are at most 2 to MAX_BITS.
 RANGE_WORDS, MAX_BITS = 1 << 21, 18
@@ -184,12 +184,12 @@ def mixed_documents(df: DataFrame, m: Mix, id_col: str = "doc_id", text: str = "
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     runs = m.blocks.groupBy("key", "doc", "t", "copy", "epoch").agg(F.sum("taken").alias("n"), F.collect_list(F.struct("block", "taken")).alias("parts"))
     numbered = df.select(
-        *[F.col(f"`{c}`") for c in df.columns], _key(source).alias("__key"), F.col(f"`{id_col}`").cast("long").alias("__doc"), F.xxhash64(body).alias("__t"), n_words(body).alias("__n")
+        *hidden(df.columns), body.alias("__body"), _key(source).alias("__key"), F.col(f"`{id_col}`").cast("long").alias("__doc"), F.xxhash64(body).alias("__t"), n_words(body).alias("__n")
     ).withColumn("__copy", F.row_number().over(Window.partitionBy("__key", "__doc", "__t").orderBy("__n")))
     joined = numbered.join(
         runs, (F.col("__key") == F.col("key")) & F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__t") == F.col("t")) & (F.col("__copy") == F.col("copy"))
     )
-    pieces = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    pieces = F.regexp_extract_all("__body", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform(F.array_sort("parts"), lambda p: F.slice("__pieces", p["block"] * m.block_words + 1, p["taken"].cast("int")))), "")
     joined = joined.withColumn("__pieces", F.when(F.col("n") < F.col("__n"), pieces))
-    return joined.select(*[F.when(F.col("n") < F.col("__n"), cut).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    return joined.select(*[(F.when(F.col("n") < F.col("__n"), cut).otherwise(F.col(f"r_{i}")) if c == text else F.col(f"r_{i}")).alias(c) for i, c in enumerate(df.columns)])

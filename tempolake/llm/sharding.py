@@ -16,7 +16,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import hidden, stored
 
 #: Samples for each range, and the most ranges that the first cut makes.
 OVERSAMPLE, MAX_RANGES = 16, 4096
@@ -109,7 +109,7 @@ def shard(
     rest = [c for c in df.columns if c not in {"size", "shard", "slot"}]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     base = df.select(
-        *[F.col(f"`{c}`") for c in rest], (F.octet_length(body) + 1).cast("long").alias("size"), F.xxhash64(body).alias("g"),
+        *hidden(rest), (F.octet_length(body) + 1).cast("long").alias("size"), F.xxhash64(body).alias("g"),
         F.coalesce(F.xxhash64(F.col(f"`{id_col}`")), F.lit(0)).alias("d"), F.xxhash64(*[F.col(f"`{c}`") for c in rest if c != text]).alias("__tie"),
     )
     keys = stored(base.select("g", "d", "size", "__tie"))
@@ -135,7 +135,7 @@ def shard(
 
     first = {r.shard: r.n for r in placed(keys).groupBy("shard").agg(F.min("__n").alias("n")).collect()}  # n_shards rows
     starts = F.array(*[F.lit(first.get(i, 0)).cast("long") for i in range(n_shards)])
-    return placed(base).select(*[F.col(f"`{c}`") for c in rest], "size", "shard", (F.col("__n") - F.get(starts, F.col("shard"))).alias("slot"))
+    return placed(base).select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(rest)], "size", "shard", (F.col("__n") - F.get(starts, F.col("shard"))).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

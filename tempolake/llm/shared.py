@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hidden(columns: list[str]) -> list[Column]:
+    """The columns as r_0, r_1, ..., names that no operator uses for its own."""
+    return [F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(columns)]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .shared import stored
+from .shared import hidden, stored
 
 _LAST = 2**63 - 1
 
@@ -152,7 +152,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     keyed = df.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(body).alias("t"), body.alias("__text"),
-        *[F.col(f"`{c}`").alias(f"r_{i}") for i, c in enumerate(rest)],
+        *hidden(rest),
     )
     seeds = stored(
         keyed.select("doc", "t", F.col("__text").alias("text")).mapInArrow(
@@ -180,7 +180,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     gone = whole.union(part).groupBy("doc", "t").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     joined = keyed.join(
         gone.select(F.col("doc").alias("o_doc"), F.col("t").alias("o_t"), "firsts", "lasts").hint("shuffle_hash"), (F.col("doc") == F.col("o_doc")) & (F.col("t") == F.col("o_t")), "left"
-    ).select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(rest)], "__text", "firsts", "lasts")
+    ).select(*[f"r_{i}" for i in range(len(rest))], "__text", "firsts", "lasts")
     run = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType(
         [df.schema[c] for c in rest]

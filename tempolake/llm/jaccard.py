@@ -4,9 +4,10 @@
    make one class; only one document of a class goes on.
 2. Candidate search loses nothing: two sets of a Jaccard similarity t or more, the
    smaller with a elements, differ in D = a (1 - t) / t elements at most. The hash
-   range is cut into parts; a set signs its first D + 1 parts that hold elements.
-   At most D parts differ, so linked sets share a signature. Sets with a common
-   signature make similarity families (connected components).
+   range is cut into parts; a set signs its first 1.25 (D + 1) parts that hold elements.
+   At most D parts differ, so linked sets share a fifth of their signatures, and a set whose
+   signatures are less shared has no links and goes, round by round. What then has a common
+   signature makes similarity families (connected components).
 3. A family is handled by a token-group matrix: its sets are partitioned into groups
    of similar sets, each group keeps the union of its tokens with their counts, the
    overlap of a set with a group is bounded by the union, and only groups whose bound
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import components
-from .shared import stored
+from .shared import drop_stored, stored
 
 #: The most shingles that a task of a family takes from one of its two cells.
 CELL_TOKENS = 2_000_000
@@ -65,9 +66,22 @@ def most_apart(size: int, num: int, den: int) -> int:
     return size * (den - num) // num
 
 
-def _bits(differ: int) -> int:
-    """The hash range has 2 to this power parts for sets that differ in so many elements."""
-    return (differ + 1 + (differ + 1) // 4 + 2).bit_length()
+def _signs(size: int, num: int, den: int) -> int:
+    """How many parts a set of this size signs: a quarter more than can differ and one."""
+    most = most_apart(size, num, den) + 1
+    return most + most // 4
+
+
+def needed(size: int, num: int, den: int) -> int:
+    """How many signatures a set shares with any linked set, at least; 0 if only an equal set can be linked."""
+    least = -(-size * num // den)
+    return _signs(least, num, den) - most_apart(least, num, den) if most_apart(size, num, den) else 0
+
+
+def _bits(size: int, num: int, den: int) -> int:
+    """The hash range has 2 to this power parts for sets of this size."""
+    signs = _signs(size, num, den)
+    return (signs + signs // 6 + 3).bit_length()
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -75,37 +89,36 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
     A set also signs at the level of the smallest set that it can be linked with."""
     n = len(s)
-    most = most_apart(n, num, den)
-    if not most:
+    if not most_apart(n, num, den):
         return np.empty(0, dtype=np.uint64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)))])
     out = []
-    for bits in {_bits(most), _bits(most_apart(-(-n * num // den), num, den))}:
+    for bits in {_bits(n, num, den), _bits(-(-n * num // den), num, den)}:
         edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         at = np.append(np.searchsorted(s, edges), n)
-        full = np.flatnonzero(np.diff(at))[: most + 1]
+        full = np.flatnonzero(np.diff(at))[: _signs(n, num, den)]
         out.append(K.mix(total[at[full + 1]] - total[at[full]] + full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(bits)))
     return np.concatenate(out)
 
 
 def _signed(df: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, d1, d2, signatures) of every row."""
+    """(id, n_shingles, d1, d2, need, signatures) of every row."""
     def run(batches):
         for batch in batches:
-            size, d1, d2, sigs = [], [], [], []
+            size, d1, d2, need, sigs = [], [], [], [], []
             for s in sets_of(K.column(batch, "text"), n):
                 a, b = digest(s)
-                size.append(len(s)), d1.append(a), d2.append(b)
+                size.append(len(s)), d1.append(a), d2.append(b), need.append(needed(len(s), num, den))
                 sigs.append(signatures(s, num, den).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             values = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))],
-                names=["id", "n_shingles", "d1", "d2", "sigs"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))],
+                names=["id", "n_shingles", "d1", "d2", "need", "sigs"],
             )
 
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(
-        run, "id long, n_shingles long, d1 long, d2 long, sigs array<long>"
+        run, "id long, n_shingles long, d1 long, d2 long, need int, sigs array<long>"
     )
 
 
@@ -221,29 +234,44 @@ def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition("tile").sortWithinPartitions("tile").select("tile", "cell", "cross", "node", "tokens").mapInArrow(run, "a long, b long")
 
 
-def _alike(live: DataFrame) -> DataFrame:
-    """(d1, lead): every set with another one, the same for all sets that share a signature.
+def _shared(live: DataFrame) -> DataFrame:
+    """(sig, d1) of the signatures that two different sets have.
 
     One shuffle by signature serves. Signatures that more than a share 1 / HOT of a
-    sample has (at most HOT, whatever the table) are taken out of it and meet their leads in a broadcast."""
+    sample has (at most HOT, whatever the table) are taken out of it and counted before the shuffle."""
     rows = live.select("id", F.explode("sigs").alias("sig"), "d1")
     drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("sig").count()
     total = drawn.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    hot = [r.sig for r in drawn.filter(F.col("count") > max(16, total / HOT)).select("sig").collect()]  # HOT rows at most
-    spark = live.sparkSession
-    rows = rows.drop("id")
+    hot = [(r.sig,) for r in drawn.filter(F.col("count") > max(16, total / HOT)).select("sig").collect()]  # HOT rows at most
+    rows, several = rows.drop("id"), []
     same = Window.partitionBy("sig")
-    cold = rows
-    if hot:
-        cold = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in hot], "sig long")), "sig", "left_anti")
-    edges = cold.withColumn("lead", F.min("d1").over(same)).filter("d1 <> lead").select("d1", "lead")
     if hot:
-        of_hot = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in hot], "sig long")), "sig")
-        leads = of_hot.groupBy("sig").agg(F.min("d1").alias("lead")).collect()  # HOT rows at most
-        edges = edges.union(
-            of_hot.join(F.broadcast(spark.createDataFrame([tuple(r) for r in leads], "sig long, lead long")), "sig").filter("d1 <> lead").select("d1", "lead")
-        )
-    return edges.distinct()
+        table = F.broadcast(live.sparkSession.createDataFrame(hot, "sig long"))
+        ends = rows.join(table, "sig").groupBy("sig").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).collect()  # HOT rows at most
+        several = [(r.sig,) for r in ends if r.a < r.z]
+    cold = rows.join(table, "sig", "left_anti") if hot else rows
+    found = cold.withColumn("a", F.min("d1").over(same)).withColumn("z", F.max("d1").over(same)).filter("a < z").select("sig", "d1")
+    if several:
+        found = found.union(rows.join(F.broadcast(live.sparkSession.createDataFrame(several, "sig long")), "sig").select("sig", "d1"))
+    return found.distinct()
+
+
+def _core(shared: DataFrame, needs: DataFrame) -> DataFrame:
+    """Takes out, round by round, sets that share fewer signatures than a linked set would, and
+    signatures that then stand alone. What is left still has every link; most sets that
+    only have a passage in common are gone. Fewer rounds would only leave more to verify."""
+    now, n = stored(shared), -1
+    while True:
+        rows = now.count()
+        if rows == n or not rows:
+            return now
+        n = rows
+        keep = now.groupBy("d1").count().join(needs, "d1").filter("count >= need").select("d1")
+        left = now.join(keep, "d1", "left_semi")
+        pairs = left.groupBy("sig").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).filter("a < z").select("sig")
+        later = stored(left.join(pairs, "sig", "left_semi").select("sig", "d1"))
+        drop_stored(now)
+        now = later
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -254,10 +282,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     is linked with nothing and its component is null; rows that share an id count as one document in
     a component, and each gives a row. An empty table gives an empty result. Other columns are ignored.
     """
-    signed = stored(_signed(df, id_col, text, n, num, den))
+    whole = stored(_signed(df, id_col, text, n, num, den))
+    signed = stored(whole.drop("sigs"))
     live = signed.filter("id IS NOT NULL AND n_shingles > 0")
     classes = live.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("rows"))
-    families = components(_alike(live), "d1", "lead").withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
+    core = _core(_shared(whole.filter("id IS NOT NULL")), live.groupBy("d1").agg(F.min("need").alias("need")))
+    drop_stored(whole)
+    leads = core.groupBy("sig").agg(F.min("d1").alias("lead"))
+    families = components(core.join(leads, "sig").filter("d1 <> lead").select("d1", "lead").distinct(), "d1", "lead").withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
     candidates = stored(classes.join(families, "d1").select("node", "size", F.col("d1").alias("e1"), F.col("d2").alias("e2"), "family"))
     weights = candidates.groupBy("family").agg(F.ceil(F.sum("size") / CELL_TOKENS).cast("int").alias("cells"))
     wanted = candidates.join(weights, "family")

@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textkernel as K
 from .shared import hidden
 
 CACHE_WORDS = 500_000
 CACHE_BYTES = 32 << 20
 #: Texts are encoded in slices of about so many characters; this bounds a task's memory.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 6_000_000
 #: No pair, or none that a merge makes.
 NONE = np.int64(1) << 40
 
@@ -242,7 +243,7 @@ def encode(
                     yield pa.RecordBatch.from_arrays(out, names=schema.names)
                     at += d - c
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(K.lean(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -261,7 +262,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
             out = [None if x is None else b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in packed]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(K.lean(run), schema)
 
 
 def digest(x: bytes) -> str:

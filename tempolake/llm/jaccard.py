@@ -118,7 +118,7 @@ def _signed(df: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -
             )
 
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(
-        run, "id long, n_shingles long, d1 long, d2 long, need int, sigs array<long>"
+        K.lean(run), "id long, n_shingles long, d1 long, d2 long, need int, sigs array<long>"
     )
 
 
@@ -231,7 +231,7 @@ def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
         out = list(solve(held))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return rows.repartition("tile").sortWithinPartitions("tile").select("tile", "cell", "cross", "node", "tokens").mapInArrow(run, "a long, b long")
+    return rows.repartition("tile").sortWithinPartitions("tile").select("tile", "cell", "cross", "node", "tokens").mapInArrow(K.lean(run), "a long, b long")
 
 
 def _shared(live: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in (1, 4, 5)] + [pa.array(out, pa.binary())], names=["node", "family", "cells", "tokens"])
 
-    sets = texts.mapInArrow(tokens, "node long, family long, cells int, tokens binary")
+    sets = texts.mapInArrow(K.lean(tokens), "node long, family long, cells int, tokens binary")
     own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
     tiles = sets.withColumn("cell", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     tiles = tiles.select(

@@ -82,7 +82,7 @@ def train(df: DataFrame, id_col: str, text: str, label: str, sample: int = 4000,
         rows = [(k, int(c), int(v[c])) for k, v in total.items() for c in np.flatnonzero(v)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["label", "cell", "n"])
 
-    got = drawn.mapInArrow(count, "label string, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect()  # languages x cells
+    got = drawn.mapInArrow(K.lean(count), "label string, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect()  # languages x cells
     languages = sorted({r.label for r in got})
     table = np.full((len(languages), 1 << BITS), smoothing)
     for r in got:
@@ -106,7 +106,7 @@ def with_evidence(df: DataFrame, text: str, model: TextModel, keep_text: bool =
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * k), pa.array(ll.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(n, pa.int64()), pa.array(best, pa.string())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(K.lean(run), schema)
 
 
 def suffix_of(address: Column) -> Column:

@@ -208,7 +208,7 @@ def _featured(df: DataFrame, text: str, extra: list[Column], names: list[str], t
             made = out(features(K.column(batch, "text")))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(K.lean(run), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000, **params) -> Gam:

@@ -156,7 +156,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
     seeds = stored(
         keyed.select("doc", "t", F.col("__text").alias("text")).mapInArrow(
-            lambda it: _seeds(it, length, seed), "doc long, t long, anchor long, span long, first int, last int"
+            K.lean(lambda it: _seeds(it, length, seed)), "doc long, t long, anchor long, span long, first int, last int"
         )
     )
     shared = seeds.groupBy("anchor").agg(F.min("doc").alias("lead"), F.max("doc").alias("tail")).filter("lead < tail").select("anchor", "lead")
@@ -174,7 +174,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         open_.select(F.col("doc").alias("o_doc"), F.col("t").alias("o_t"), "firsts", "lasts").hint("shuffle_hash"), (F.col("doc") == F.col("o_doc")) & (F.col("t") == F.col("o_t"))
     )
     # all columns go in, so that this and the last step share one shuffle of the texts
-    windows = opened.mapInArrow(lambda it: _windows(it, length), "doc long, t long, window long, first int")
+    windows = opened.mapInArrow(K.lean(lambda it: _windows(it, length)), "doc long, t long, window long, first int")
     owners = windows.groupBy("window").agg(F.min("doc").alias("owner"), F.max("doc").alias("tail")).filter("owner < tail").select("window", "owner")
     part = windows.join(owners, "window").filter("doc > owner").select("doc", "t", "first", F.col("first").alias("last"))
     gone = whole.union(part).groupBy("doc", "t").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
@@ -187,7 +187,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(text, T.StringType()), T.StructField("removed_spans", T.ArrayType(run))]
     )
     names = schema.names
-    return joined.mapInArrow(lambda it: _cut_all(it, length, rest, names), schema)
+    return joined.mapInArrow(K.lean(lambda it: _cut_all(it, length, rest, names)), schema)
 
 
 def _cut_all(it, length, rest, names):

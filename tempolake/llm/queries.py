@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, line_dedup, mixing, quality_gam, quality_rules, sharding, substring, topk
+from . import bpe, jaccard, language, line_dedup, mixing, oracle, quality_gam, quality_rules, sharding, substring, topk
 from .shared import table
 
 
@@ -92,4 +92,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries draw, learn, encode or link; they are tested against brute force instead."""
+    return {"op1_substring_dedup": oracle.OP1, "op6_line_dedup": oracle.OP6, "op7_exact_top_k": oracle.OP7, "op10_quality_rules": oracle.OP10}

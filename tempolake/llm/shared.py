@@ -53,6 +53,12 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def apart(df: DataFrame, *columns: str) -> DataFrame:
+    """Deals an aggregate out by other columns than a join's, so that the join gets a shuffle of its own
+    on both sides; adaptive execution can only split hot keys of such joins."""
+    return df.repartition(*columns)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Removes a table that ``stored`` wrote."""
     spark = df.sparkSession

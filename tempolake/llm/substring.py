@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .shared import hidden, stored
+from .shared import apart, hidden, stored
 
 _LAST = 2**63 - 1
 
@@ -160,14 +160,14 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text: str = "text",
         )
     )
     shared = seeds.groupBy("anchor").agg(F.min("doc").alias("lead"), F.max("doc").alias("tail")).filter("lead < tail").select("anchor", "lead")
-    met = stored(seeds.join(shared, "anchor"))
+    met = stored(seeds.join(apart(shared, "anchor", "lead"), "anchor").drop("lead"))
     spans = met.groupBy("anchor", "span").agg(F.min("doc").alias("owner"))
     several = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_spans"))
     # a span of an earlier document goes as a whole; the first holder of a span is open where its anchor has other spans
-    judged = met.join(spans, ["anchor", "span"])
+    judged = met.join(apart(spans, "anchor", "span", "owner"), ["anchor", "span"])
     whole = judged.filter("doc > owner").select("doc", "t", "first", "last")
     open_ = (
-        judged.filter("doc = owner").join(several.filter("n_spans > 1").select("anchor"), "anchor", "left_semi")
+        judged.filter("doc = owner").join(apart(several.filter("n_spans > 1"), "anchor", "n_spans").select("anchor"), "anchor", "left_semi")
         .groupBy("doc", "t").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     )
     opened = keyed.join(
@@ -176,7 +176,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     # all columns go in, so that this and the last step share one shuffle of the texts
     windows = opened.mapInArrow(K.lean(lambda it: _windows(it, length)), "doc long, t long, window long, first int")
     owners = windows.groupBy("window").agg(F.min("doc").alias("owner"), F.max("doc").alias("tail")).filter("owner < tail").select("window", "owner")
-    part = windows.join(owners, "window").filter("doc > owner").select("doc", "t", "first", F.col("first").alias("last"))
+    part = windows.join(apart(owners, "window", "owner"), "window").filter("doc > owner").select("doc", "t", "first", F.col("first").alias("last"))
     gone = whole.union(part).groupBy("doc", "t").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     joined = keyed.join(
         gone.select(F.col("doc").alias("o_doc"), F.col("t").alias("o_t"), "firsts", "lasts").hint("shuffle_hash"), (F.col("doc") == F.col("o_doc")) & (F.col("t") == F.col("o_t")), "left"

@@ -26,6 +26,8 @@ from .shared import WORD, hidden, n_words, stored
 #: Hash ranges of a source hold about so many words; there are at most 2 to MAX_BITS.
 RANGE_WORDS, MAX_BITS = 1 << 21, 18
 SHARD_WORDS = 1 << 26
+#: Figures by source (and shard) are broadcast up to so many entries.
+MAX_ENTRIES = 1 << 20
 
 
 def cycle_weights(sources: Sequence[str | None]) -> list[int]:
@@ -94,6 +96,11 @@ class Mix:
     block_words: int
 
 
+def _small(table: DataFrame, entries: int) -> DataFrame:
+    """A table made on the driver, for joins by source: it goes to all executors if it has MAX_ENTRIES at most."""
+    return F.broadcast(table) if entries <= MAX_ENTRIES else table
+
+
 def _key(source: str) -> Column:
     c = F.col(f"`{source}`").cast("string")
     return F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), c))
@@ -126,10 +133,11 @@ def mix(
     whole = [0 if not s else int(g) // s for s, g in zip(sizes, goal, strict=True)]
     rest = [round(g) - f * s for s, g, f in zip(sizes, goal, whole, strict=True)]
     keys = [r.key for r in stats]
-    sources = spark.createDataFrame(
-        [(k, n, s, float(g), w) for k, n, s, g, w in zip(keys, names, sizes, goal, weights, strict=True)], "key string, source string, source_size long, target double, weight int"
+    sources = _small(
+        spark.createDataFrame([(k, n, s, float(g), w) for k, n, s, g, w in zip(keys, names, sizes, goal, weights, strict=True)], "key string, source string, source_size long, target double, weight int"),
+        len(keys),
     )
-    plan = spark.createDataFrame([(k, f, r) for k, f, r in zip(keys, whole, rest, strict=True)], "key string, passes int, rest long")
+    plan = _small(spark.createDataFrame([(k, f, r) for k, f, r in zip(keys, whole, rest, strict=True)], "key string, passes int, rest long"), len(keys))
     bits = min(MAX_BITS, max(6, (sum(sizes) // RANGE_WORDS).bit_length()))
 
     blocks = (
@@ -143,7 +151,7 @@ def mix(
     by_source = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = blocks.filter("rest > 0").groupBy("key", "range", "rest").agg(F.sum("words").alias("words")).withColumn("upto", F.sum("words").over(by_source))
     crossing = filled.filter("upto >= rest AND upto - words < rest").select("key", "range", (F.col("upto") - F.col("words")).alias("before")).collect()  # a row for each source
-    edge = spark.createDataFrame([(r.key, int(r.range), int(r.before)) for r in crossing], "key string, edge long, before long")
+    edge = _small(spark.createDataFrame([(r.key, int(r.range), int(r.before)) for r in crossing], "key string, edge long, before long"), len(keys))
     partial = blocks.filter("rest > 0").join(edge, "key").filter("range <= edge")
     order = Window.partitionBy("key").orderBy("u", "doc", "t", "copy", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = partial.filter("range = edge").withColumn("left", F.col("rest") - F.col("before") - F.sum("words").over(order) + F.col("words"))
@@ -157,7 +165,7 @@ def mix(
     ranges = chosen.groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"))
     quota = {r.key: r.n for r in ranges.groupBy("key").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     drawn = split_quotas([quota.get(k, 0) for k in keys], n_shards, seed).cumsum(axis=1)
-    ends = spark.createDataFrame([(k, [int(x) for x in row]) for k, row in zip(keys, drawn, strict=True)], "key string, ends array<long>")
+    ends = _small(spark.createDataFrame([(k, [int(x) for x in row]) for k, row in zip(keys, drawn, strict=True)], "key string, ends array<long>"), drawn.size)
     before = ranges.withColumn("before", F.sum("n").over(by_source) - F.col("n")).select("key", "range", "before")
     in_range = Window.partitionBy("key", "range").orderBy("v", "doc", "t", "copy", "block", "epoch")
     ranked = chosen.join(before, ["key", "range"]).withColumn("rank", F.col("before") + F.row_number().over(in_range) - 1)

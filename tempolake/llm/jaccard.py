@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .components import components
-from .shared import drop_stored, stored
+from .shared import apart, drop_stored, stored
 
 #: The most shingles that a task of a family takes from one of its two cells.
 CELL_TOKENS = 2_000_000
@@ -267,9 +267,9 @@ def _core(shared: DataFrame, needs: DataFrame) -> DataFrame:
             return now
         n = rows
         keep = now.groupBy("d1").count().join(needs, "d1").filter("count >= need").select("d1")
-        left = now.join(keep, "d1", "left_semi")
-        pairs = left.groupBy("sig").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).filter("a < z").select("sig")
-        later = stored(left.join(pairs, "sig", "left_semi").select("sig", "d1"))
+        left = now.join(keep, "d1", "left_semi")  # a set has few signatures, as its size bounds them
+        pairs = left.groupBy("sig").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).filter("a < z")
+        later = stored(left.join(apart(pairs, "sig", "a").select("sig"), "sig", "left_semi").select("sig", "d1"))
         drop_stored(now)
         now = later
 
@@ -289,7 +289,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     core = _core(_shared(whole.filter("id IS NOT NULL")), live.groupBy("d1").agg(F.min("need").alias("need")))
     drop_stored(whole)
     leads = core.groupBy("sig").agg(F.min("d1").alias("lead"))
-    families = components(core.join(leads, "sig").filter("d1 <> lead").select("d1", "lead").distinct(), "d1", "lead").withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
+    families = components(core.join(apart(leads, "sig", "lead"), "sig").filter("d1 <> lead").select("d1", "lead").distinct(), "d1", "lead").withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
     candidates = stored(classes.join(families, "d1").select("node", "size", F.col("d1").alias("e1"), F.col("d2").alias("e2"), "family"))
     weights = candidates.groupBy("family").agg(F.ceil(F.sum("size") / CELL_TOKENS).cast("int").alias("cells"))
     wanted = candidates.join(weights, "family")

@@ -121,7 +121,7 @@ def _shares(counts: DataFrame, by: str, languages: list[str], other: str = "__be
 
 def identify(
     df: DataFrame, model: TextModel, text: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None,
-    strength: float = 20.0, min_posterior: float = 0.6, keep_text: bool = True,
+    strength: float = 20.0, min_posterior: float = 0.5, keep_text: bool = True,
 ) -> DataFrame:
     """Adds ``language``, ``posterior`` and ``accepted`` to each row; columns of these names are replaced.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .resolve import bounded, has_prefix, resolve_latest, versions
@@ -33,17 +33,22 @@ def version_exact(log: DataFrame, key_value: object, ts: int, seqno: int, key: s
     return log.filter((F.col(key) == F.lit(key_value)) & (F.col("ts") == ts) & (F.col("seqno") == seqno))
 
 
-def list_prefix(log: DataFrame, prefix: str | bytes, limit: int | None = None, as_of: int | None = None, key: str = "key") -> DataFrame:
-    """The latest values of the keys with a prefix, by key; with a limit, the first of them."""
+def list_prefix(
+    log: DataFrame, prefix: str | bytes, limit: int | None = None, as_of: int | None = None, key: str = "key", keep: Column | None = None,
+) -> DataFrame:
+    """The latest values of the keys with a prefix, by key; with a limit, the first of them. ``keep`` chooses among the latest."""
     found = resolve_latest(log.filter(has_prefix(F.col(key), prefix)), as_of, key=key)
+    found = found if keep is None else found.filter(keep)
     return found.orderBy(key).limit(limit) if limit is not None else found
 
 
-def list_page(log: DataFrame, prefix: str | bytes, limit: int, as_of: int | None = None, after: object = None, key: str = "key") -> tuple[list, bool]:
+def list_page(
+    log: DataFrame, prefix: str | bytes, limit: int, as_of: int | None = None, after: object = None, key: str = "key", keep: Column | None = None,
+) -> tuple[list, bool]:
     """The rows of a page and whether more follow; ``after`` is the last key of the page before."""
     if after is not None:
         log = log.filter(F.col(key) > F.lit(after))
-    rows = list_prefix(log, prefix, limit + 1, as_of, key).collect()  # limit + 1 rows
+    rows = list_prefix(log, prefix, limit + 1, as_of, key, keep).collect()  # limit + 1 rows
     return rows[:limit], len(rows) > limit
 
 

@@ -190,9 +190,8 @@ class Store:
         n, prefix = check_limit(limit), as_bytes(key_prefix or b"")
         at = check_ts(time.time_ns() if as_of is None else as_of)
         first, end = prefix_range(prefix)
-        log = self.log(first or None, end, at)
-        log = log.filter(F.col("value").isNotNull() & F.expr("is_valid_utf8(cast(key as string)) and is_valid_utf8(cast(value as string))") | (F.col("op") == 1))
-        rows, more = reads.list_page(log, prefix, n, at, None if after is None else as_bytes(after))
+        text = F.expr("is_valid_utf8(cast(key as string)) and is_valid_utf8(cast(value as string))")
+        rows, more = reads.list_page(self.log(first or None, end, at), prefix, n, at, None if after is None else as_bytes(after), keep=text)
         return {"series": [{"key": bytes(r.key).decode(), "value": bytes(r.value).decode(), "timestamp": r.ts} for r in rows], "has_more": more}
 
     def snapshot(self, as_of: int | None = None, version: int | None = None) -> DataFrame:

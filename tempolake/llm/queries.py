@@ -92,5 +92,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The other queries draw, learn, encode or link; they are tested against brute force instead."""
-    return {"op1_substring_dedup": oracle.OP1, "op6_line_dedup": oracle.OP6, "op7_exact_top_k": oracle.OP7, "op10_quality_rules": oracle.OP10}
+    """The other queries draw, learn or encode; they are tested against brute force instead."""
+    return {"op1_substring_dedup": oracle.OP1, "op6_line_dedup": oracle.OP6, "op7_exact_top_k": oracle.OP7, "op9_ngram_jaccard": oracle.OP9, "op10_quality_rules": oracle.OP10}

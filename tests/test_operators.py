@@ -114,6 +114,8 @@ def version(*files):
 def test_compaction_decisions():
     options = CompactionOptions()
     assert [options.limit(n) for n in range(3)] == [None, 10 << 20, 100 << 20]
+    large = CompactionOptions.for_files(1 << 30)
+    assert (large.limit(1), large.limit(2), large.file_bytes) == (5 << 30, 50 << 30, 1 << 30)
     files = [data_file(f"f{i}", "a", "z", seqno=i) for i in range(4)]
     assert not needs_compaction(version(*files[:3]), 0, options) and needs_compaction(version(*files), 0, options)
     below = [data_file("x", "c", "d", 1), data_file("y", "zz", "zzz", 1)]

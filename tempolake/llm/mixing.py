@@ -193,7 +193,7 @@ def mixed_documents(df: DataFrame, m: Mix, id_col: str = "doc_id", text: str = "
     runs = m.blocks.groupBy("key", "doc", "t", "copy", "epoch").agg(F.sum("taken").alias("n"), F.collect_list(F.struct("block", "taken")).alias("parts"))
     numbered = df.select(
         *hidden(df.columns), body.alias("__body"), _key(source).alias("__key"), F.col(f"`{id_col}`").cast("long").alias("__doc"), F.xxhash64(body).alias("__t"), n_words(body).alias("__n")
-    ).withColumn("__copy", F.row_number().over(Window.partitionBy("__key", "__doc", "__t").orderBy("__n")))
+    ).withColumn("__copy", F.row_number().over(Window.partitionBy("__key", "__doc", "__t").orderBy(F.xxhash64(*[f"r_{i}" for i in range(len(df.columns))]))))
     joined = numbered.join(
         runs, (F.col("__key") == F.col("key")) & F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__t") == F.col("t")) & (F.col("__copy") == F.col("copy"))
     )

@@ -75,6 +75,16 @@ class LineRuns:
             return self.spark.createDataFrame([], "k1 long, k2 long, n_docs long, last_doc long")
         return self._merge(paths)
 
+    def admit(self, lines: DataFrame) -> DataFrame:
+        """The rows (k1, k2, doc, ...) of a new batch whose keys no earlier batch has, and adds the batch's run.
+
+        This is the rule for a feed, where a line stays with the first batch that brings it. The rows are written, as
+        the runs that they were held against go on changing."""
+        runs = self.tally().select(F.col("k1").alias("r1"), F.col("k2").alias("r2"))
+        fresh = stored(lines.join(runs, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left_anti"))
+        self.add(lines)
+        return fresh
+
     def split(self, lines: DataFrame, min_docs: int, how: str) -> DataFrame:
         """Of rows (k1, k2, doc, ...), those that go ("left_semi") or stay ("left_anti")."""
         common = self.tally().filter(F.col("n_docs") >= min_docs).select(

@@ -199,6 +199,15 @@ def test_runs_are_compacted_by_levels(spark):
     assert {r.doc for r in runs.split(lines, 3, "left_anti").collect()} == {4, 3} and {r.doc for r in runs.split(lines, 3, "left_semi").collect()} == {0}
 
 
+def test_a_feed_admits_new_lines_only(spark):
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    seen, batches = set(), [[(1, 1, 5), (1, 1, 6), (2, 2, 5)], [(2, 2, 7), (3, 3, 7)], [(1, 1, 8), (4, 4, 8)], []]
+    for batch in batches:
+        got = {tuple(r) for r in runs.admit(spark.createDataFrame(batch, "k1 long, k2 long, doc long")).collect()}
+        assert got == {r for r in batch if r[0] not in seen}
+        seen |= {r[0] for r in batch}
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import hidden, stored
 
 #: Samples for each range, and the most ranges that the first cut makes.
-OVERSAMPLE, MAX_RANGES = 16, 4096
+OVERSAMPLE, MAX_RANGES = 16, 1 << 14
 #: A range is overfull beyond this multiple of the mean.
 OVERFULL = 3
 _LEAST = -(2**63)
@@ -30,6 +30,11 @@ def _chance(g: str = "g", d: str = "d") -> Column:
     return F.shiftrightunsigned(F.xxhash64(g, d, F.lit(11)), 11).cast("double") / float(1 << 53)
 
 
+def _longs(xs: list[int]) -> Column:
+    """A constant array, sent as one literal."""
+    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<long>")
+
+
 def _range_of(cuts: list[tuple[int, int]]) -> Column:
     """How many of the ascending (g, d) cuts are not beyond the record: a binary search."""
     if not cuts:
@@ -37,7 +42,7 @@ def _range_of(cuts: list[tuple[int, int]]) -> Column:
     bits = len(cuts).bit_length()
     top = (2**63 - 1, 2**63 - 1)
     cuts = cuts + [top] * ((1 << bits) - 1 - len(cuts))
-    gs, ds = F.array(*[F.lit(g).cast("long") for g, _ in cuts]), F.array(*[F.lit(d).cast("long") for _, d in cuts])
+    gs, ds = _longs([g for g, _ in cuts]), _longs([d for _, d in cuts])
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
 
     def step(lo: Column, w: Column) -> Column:
@@ -122,7 +127,7 @@ def shard(
         rows_before.append(rows_before[-1] + n)
 
     def placed(of: DataFrame) -> DataFrame:
-        at = lambda xs: F.get(F.array(*[F.lit(x).cast("long") for x in xs]), F.col("__r"))
+        at = lambda xs: F.get(_longs(xs), F.col("__r"))
         order = Window.partitionBy("__r").orderBy("g", "d", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         group = Window.partitionBy("__r", "g")
         of = of.withColumn("__r", _range_of(cuts))
@@ -134,7 +139,7 @@ def shard(
         return of.withColumn("shard", F.least(F.floor(middle * n_shards / (2 * max(total, 1))), F.lit(n_shards - 1)).cast("int"))
 
     first = {r.shard: r.n for r in placed(keys).groupBy("shard").agg(F.min("__n").alias("n")).collect()}  # n_shards rows
-    starts = F.array(*[F.lit(first.get(i, 0)).cast("long") for i in range(n_shards)])
+    starts = _longs([first.get(i, 0) for i in range(n_shards)])
     return placed(base).select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(rest)], "size", "shard", (F.col("__n") - F.get(starts, F.col("shard"))).alias("slot"))
 
 

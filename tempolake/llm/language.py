@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .shared import hidden, stored
+from .shared import apart, hidden, stored
 
 #: Trigrams are hashed to 2 to this power cells; a text speaks with the weight of this many trigrams at most.
 BITS, WEIGHT = 16, 60.0
@@ -152,7 +152,7 @@ def identify(
     said = _shares(counts, "__declared", languages)
 
     def add(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-        return rows.join(table.withColumnRenamed(key, f"{key}_key"), F.col(key) == F.col(f"{key}_key"), "left").drop(f"{key}_key")
+        return rows.join(apart(table, key, f"{key}_n").withColumnRenamed(key, f"{key}_key"), F.col(key) == F.col(f"{key}_key"), "left").drop(f"{key}_key")
 
     rows = with_evidence(source, body, model, keep_text=keep_text)
     for table, key in ((hosts, "__host"), (groups, "__suffix"), (said, "__declared")):

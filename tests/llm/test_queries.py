@@ -115,3 +115,16 @@ def test_op10(run, texts):
 def test_page_language(run):
     got = run("page_language")
     assert sum(r.language == r.declared for r in got if r.declared) >= 0.95 * sum(bool(r.declared) for r in got)
+
+
+@pytest.mark.parametrize("name", ["op5_sharding", "op6_line_dedup", "op10_quality_rules"])
+def test_native_plans_have_no_python(spark, name):
+    plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_queries_read_whole_tables(spark):
+    """One row for each document of any query over documents."""
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    for name in ("op1_substring_dedup", "op2_quality_gam", "op3_mixing", "op4_language_id", "op5_sharding", "op6_line_dedup", "op8_byte_bpe", "op9_ngram_jaccard", "op10_quality_rules"):
+        assert queries.queries()[name](spark, SF).count() == n, name

@@ -30,7 +30,7 @@ from .shared import hidden
 CACHE_WORDS = 500_000
 CACHE_BYTES = 32 << 20
 #: Texts are encoded in slices of about so many characters; this bounds a task's memory.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 9_000_000
 #: No pair, or none that a merge makes.
 NONE = np.int64(1) << 40
 

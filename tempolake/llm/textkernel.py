@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 19
+#: Arrow batches (64 MB at most, by Spark's setting) are worked off in pieces of about so many bytes.
+PIECE_BYTES = 8 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -85,13 +87,21 @@ class Block:
         return mix(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(np.uint64) * _ODD[0])
 
 
+def pieces(batches):
+    """The batches in parts of about PIECE_BYTES, so that what is made of a part stays small, too."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PIECE_BYTES // max(batch.nbytes, PIECE_BYTES))
+        for at in range(0, max(batch.num_rows, 1), step):
+            yield batch.slice(at, step)
+
+
 def lean(run):
-    """A mapInArrow function that gives freed memory back to the system when its task ends;
-    Python workers stay for later tasks, beside the executor's own memory."""
+    """A mapInArrow function that works in pieces and gives freed memory back to the system when its
+    task ends; Python workers stay for later tasks, beside the executor's own memory."""
 
     def task(batches):
         try:
-            yield from run(batches)
+            yield from run(pieces(batches))
         finally:
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):

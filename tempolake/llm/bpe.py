@@ -27,12 +27,12 @@ from pyspark.sql import types as T
 from . import textkernel as K
 from .shared import hidden
 
-CACHE_WORDS = 500_000
-CACHE_BYTES = 32 << 20
+CACHE_WORDS = 200_000
+CACHE_BYTES = 16 << 20
 #: Texts are encoded in slices of about so many characters; this bounds a task's memory.
-SLICE_CHARS = 9_000_000
+SLICE_CHARS = 4_000_000
 #: No pair, or none that a merge makes.
-NONE = np.int64(1) << 40
+NONE = np.int32(1 << 30)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,7 +49,7 @@ class Merges:
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.token[v] = k
-        self.byte = np.full(256, -1, dtype=np.int64)
+        self.byte = np.full(256, -1, dtype=np.int32)
         for b in range(256):
             self.byte[b] = ranks.get(bytes([b]), -1)
         if (self.byte < 0).any():
@@ -62,11 +62,11 @@ class Merges:
                     pairs.append(((a << 20) | b, rank))
         pairs.sort()
         self.pair = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], dtype=np.int64)
-        self.rank = np.array([r for _, r in pairs] + [0], dtype=np.int64)
+        self.rank = np.array([r for _, r in pairs] + [0], dtype=np.int32)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the token that each two symbols make, or NONE."""
-        key = (left << 20) | right
+        key = (left.astype(np.int64) << 20) | right
         at = np.searchsorted(self.pair, key)
         return np.where(self.pair[at] == key, self.rank[at], NONE)
 
@@ -76,15 +76,16 @@ class Merges:
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         n = len(data)
         if not n:
-            return np.empty(0, dtype=np.int64), size
+            return np.empty(0, dtype=np.int32), size
         sym = self.byte[data]
         end = np.cumsum(size)
-        after = np.arange(1, n + 1, dtype=np.int64)
+        kind = np.int32 if n < 2**31 else np.int64
+        after = np.arange(1, n + 1, dtype=kind)
         after[end[size > 0] - 1] = -1
-        before = np.arange(-1, n - 1, dtype=np.int64)
+        before = np.arange(-1, n - 1, dtype=kind)
         before[(end - size)[size > 0]] = -1
-        rank = np.full(n, NONE, dtype=np.int64)
-        has = np.flatnonzero(after >= 0)
+        rank = np.full(n, NONE, dtype=np.int32)
+        has = np.flatnonzero(after >= 0).astype(kind)
         rank[has] = self.lookup(sym[has], sym[has + 1])
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
@@ -148,7 +149,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids = np.empty(0, dtype=np.int64)
+        self.ids = np.empty(0, dtype=np.int32)
         self.from_ = np.zeros(1, dtype=np.int64)
         self.held = 0
 
@@ -169,7 +170,7 @@ class Encoder:
             self.held += sum(map(len, fresh))
             whole = np.array([self.merges.ranks.get(w, -1) for w in fresh], dtype=np.int64)
             ids, count = self.merges.replay([w if k < 0 else b"" for w, k in zip(fresh, whole.tolist(), strict=True)])
-            out = np.empty(int(count.sum() + (whole >= 0).sum()), dtype=np.int64)
+            out = np.empty(int(count.sum() + (whole >= 0).sum()), dtype=np.int32)
             count = np.where(whole >= 0, 1, count)
             end = np.cumsum(count)
             single = (end - count)[whole >= 0]

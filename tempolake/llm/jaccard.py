@@ -34,7 +34,7 @@ from .components import components
 from .shared import apart, drop_stored, stored
 
 #: The most shingles that a task of a family takes from one of its two cells.
-CELL_TOKENS = 1_000_000
+CELL_TOKENS = 500_000
 #: Signatures are hot beyond a share 1 / HOT of all, in a sample of one in SAMPLE documents.
 HOT, SAMPLE = 2048, 16
 #: The rows of a class are joined in so many parts.

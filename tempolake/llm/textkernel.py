@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 19
 #: Arrow batches (64 MB at most, by Spark's setting) are worked off in pieces of about so many bytes.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

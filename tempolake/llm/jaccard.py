@@ -6,7 +6,10 @@
    smaller with a elements, differ in D = a (1 - t) / t elements at most. The hash
    range is cut into parts; a set signs its first 1.25 (D + 1) parts that hold elements.
    At most D parts differ, so linked sets share a fifth of their signatures, and a set whose
-   signatures are less shared has no links and goes, round by round. What then has a common
+   signatures are less shared has no links and goes, round by round. A set whose elements
+   stand in fewer parts than it must sign also signs its least elements, one by one, so
+   many that linked sets have one of them in common (prefix filter); such a set goes only
+   if none of its signatures is shared. What then has a common
    signature makes similarity families (connected components).
 3. A family is handled by a token-group matrix: its sets are partitioned into groups
    of similar sets, each group keeps the union of its tokens with their counts, the
@@ -73,7 +76,7 @@ def _signs(size: int, num: int, den: int) -> int:
 
 
 def needed(size: int, num: int, den: int) -> int:
-    """How many signatures a set shares with any linked set, at least; 0 if only an equal set can be linked."""
+    """How many signatures of parts a set shares with any linked set, at least; 0 if only an equal set can be linked."""
     least = -(-size * num // den)
     return _signs(least, num, den) - most_apart(least, num, den) if most_apart(size, num, den) else 0
 
@@ -84,21 +87,41 @@ def _bits(size: int, num: int, den: int) -> int:
     return (signs + signs // 6 + 3).bit_length()
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of a sorted set, none if only an equal set can be linked with it.
+def _most_signs(bits: int) -> int:
+    """The most parts that a set with this level for its own signs there."""
+    signs = ((1 << bits) - 4) * 6 // 7 + 1
+    while signs + signs // 6 + 3 >= 1 << bits:
+        signs -= 1
+    return signs
+
+
+def signed_set(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The signatures of a sorted set, and how many of them it shares with any linked set, at least.
 
-    A set also signs at the level of the smallest set that it can be linked with."""
+    A set also signs at the levels of the smaller sets that it can be linked with. There are none
+    if only an equal set can be linked with it. Of two linked sets, one with as many full parts
+    as the smaller one signs is enough for the bound on parts; if neither has, both sign a prefix."""
     n = len(s)
     if not most_apart(n, num, den):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), 0
+    least, signs, need = -(-n * num // den), _signs(n, num, den), needed(n, num, den)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)))])
-    out = []
-    for bits in {_bits(n, num, den), _bits(-(-n * num // den), num, den)}:
+    out, few = [], False
+    for bits in range(_bits(least, num, den), _bits(n, num, den) + 1):
         edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         at = np.append(np.searchsorted(s, edges), n)
-        full = np.flatnonzero(np.diff(at))[: _signs(n, num, den)]
+        full = np.flatnonzero(np.diff(at))[:signs]
+        few |= len(full) < min(signs, _most_signs(bits))
         out.append(K.mix(total[at[full + 1]] - total[at[full]] + full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(bits)))
-    return np.concatenate(out)
+    if few:
+        out.append(K.mix(s[: n - least + 1] ^ np.uint64(0xD6E8FEB86659FD93)))
+        need = 1
+    return np.concatenate(out), need
+
+
+def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The signatures of a sorted set."""
+    return signed_set(s, num, den)[0]
 
 
 def _signed(df: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -> DataFrame:
@@ -108,8 +131,9 @@ def _signed(df: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -
             size, d1, d2, need, sigs = [], [], [], [], []
             for s in sets_of(K.column(batch, "text"), n):
                 a, b = digest(s)
-                size.append(len(s)), d1.append(a), d2.append(b), need.append(needed(len(s), num, den))
-                sigs.append(signatures(s, num, den).view(np.int64))
+                found, least = signed_set(s, num, den)
+                size.append(len(s)), d1.append(a), d2.append(b), need.append(least)
+                sigs.append(found.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             values = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(

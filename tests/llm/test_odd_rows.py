@@ -317,6 +317,33 @@ def test_signatures_find_every_link():
                     assert set(jaccard.signatures(a, num, 100).tolist()) & set(jaccard.signatures(b, num, 100).tolist())
 
 
+def test_sets_in_few_parts_share_a_signature():
+    """Linked sets whose elements stand in few parts of the hash range, as the pigeonhole rule alone loses them."""
+    rng = np.random.default_rng(11)
+    for num in (50, 80, 90):
+        for size in (4, 5, 9, 10, 18, 20, 40, 150):
+            for spread in (2, 30, 61):  # the elements stand below 2 to this power, or in all parts
+                for _ in range(20):
+                    top = min(63, spread + 8)
+                    a = np.unique(rng.integers(0, 2**top, size).astype(np.uint64))
+                    b = np.unique(np.concatenate([a, rng.integers(0, 2**top, jaccard.most_apart(len(a), num, 100)).astype(np.uint64)]))
+                    if len(a) < len(b):
+                        (x, least_x), (y, least_y) = jaccard.signed_set(a, num, 100), jaccard.signed_set(b, num, 100)
+                        assert len(set(x.tolist()) & set(y.tolist())) >= max(1, least_x, least_y)
+
+
+def test_short_near_copies_in_one_part_are_linked(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"s{x}" for x in row) for row in rng.integers(0, 10**6, (40_000, 9)).tolist()]
+    one = [t for t, s in zip(texts, jaccard.sets_of(pa.array(texts, pa.large_string()), 5), strict=True) if len(set((s >> np.uint64(61)).tolist())) == 1]
+    assert one
+    docs = [x for t in one for x in (t.rsplit(" ", 1)[0], t)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), n=5, num=80).collect()}
+    assert got == {i: i - i % 2 for i in range(len(docs))}
+
+
 def test_quality_rules(odd, empty, clashing):
     got = quality_rules.quality_rules(odd).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

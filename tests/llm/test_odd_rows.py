@@ -131,6 +131,17 @@ def test_language_by_text_alone(spark):
     assert sum(r.language == r.lang for r in got) >= 0.99 * len(got)
 
 
+def test_rare_languages_are_known_and_unknown_ones_rejected(spark, docs):
+    rows = docs.filter("length(text) > 200")
+    rare = [r.doc_id for r in rows.filter("lang = 'fr'").orderBy("doc_id").limit(3).collect()]
+    model = language.train(rows.filter("lang <> 'de'").filter((F.col("lang") != "fr") | F.col("doc_id").isin(rare)), "doc_id", "text", "lang", sample=10)
+    assert model.languages == ["en", "es", "fr"]
+    got = language.identify(rows, model).collect()
+    told = lambda x: [r.accepted and r.language == x for r in got if r.lang == x]
+    assert all(sum(told(x)) >= 0.9 * len(told(x)) > 0 for x in model.languages)
+    assert sum(r.accepted for r in got if r.lang == "de") <= 0.05 * len(told("de"))
+
+
 @pytest.mark.parametrize("shards", [1, 3, 16])
 def test_sharding(odd, empty, clashing, shards):
     got = sharding.shard(odd, shards).collect()

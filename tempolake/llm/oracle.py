@@ -37,17 +37,18 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w, str
 win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 twice AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT win.doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice ON win.doc_id = twice.doc_id AND win.g = twice.g) GROUP BY doc_id),
-l AS (SELECT doc_id, source, text, line, lower(trim(line, {_SPACES})) AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
-  FROM (SELECT doc_id, source, text, unnest(ls) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l AS (SELECT doc_id, source, line, lower(trim(line, {_SPACES})) AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT doc_id, source, unnest(ls) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
-host AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-common AS (SELECT l.source, k FROM l JOIN host ON l.source = host.source GROUP BY l.source, k, host.n HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) >= 0.1 * host.n),
-gone AS (SELECT doc_id, sum(n) AS n FROM l JOIN common ON l.source = common.source AND l.k = common.k GROUP BY doc_id),
+host AS (SELECT source, count(DISTINCT doc_id) AS n FROM d GROUP BY source),
+held AS (SELECT source, k, count(DISTINCT doc_id) AS n FROM l GROUP BY source, k),
+common AS (SELECT held.source, k FROM held JOIN host ON held.source IS NOT DISTINCT FROM host.source WHERE held.n >= 10 AND (held.n >= 100 OR 100 * held.n >= host.n)),
+gone AS (SELECT doc_id, sum(n) AS n FROM l JOIN common ON l.source IS NOT DISTINCT FROM common.source AND l.k = common.k GROUP BY doc_id),
 f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
   FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id)
 SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (n_words - n_removed_words) >= 30 * n_words AS kept FROM f
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (n_words - n_removed_words) >= 50 * n_words AS kept FROM f
 """
 
 OP9 = rf"""

@@ -2,13 +2,13 @@
 
 Built from DataFrame functions only. The base figures of a document are computed
 inside its row, so no text is shuffled. Lines are normalised and hashed; per
-host, the distinct documents (equal texts count once) that hold each line are
-counted with map-side partial sums. Lines above the host's limit count as
-removed, and a document that loses nearly all its words is rejected.
+host, the distinct documents (by id) that hold each line are counted with
+map-side partial sums. Lines above the host's limit count as removed, and a
+document that loses most of its words is rejected.
 
 Nulls and empty texts have no words and fail the base rules. A null host is a
-host of its own. Repeated rows give one result row each. An empty table gives an
-empty result. Other columns are ignored.
+host of its own. Repeated rows give one result row each, and count as one document if they share an id, as null
+ids do. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, WORD
+from .shared import SPACE, WORD, stored
 
 _SPACES = " \t\n\x0b\x0c\r"
 #: A host's frequent lines are joined in so many parts.
@@ -69,61 +69,50 @@ def _beside(e: Column, j: Column) -> Column:
     return equal(j - 1) | equal(j + 1)
 
 
-def line_rows(df: DataFrame, text: str, host: str, keep: list[str]) -> DataFrame:
-    """A row for each line with a word, and one with a null line for each document."""
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    none = F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).alias("words"))
-    lines = F.transform(
-        F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        lambda x: F.struct(
-            F.xxhash64(F.lower(F.btrim(x, F.lit(_SPACES)))).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")
-        ),
+def line_counts(text: Column) -> Column:
+    """The lines with a word as an array of (line, words): each normalised line's hash and all its words in the text."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.transform(
+        lines, lambda x: F.struct(F.xxhash64(F.lower(F.btrim(x, F.lit(_SPACES)))).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))
     )
-    return df.select(
-        *keep, F.col(f"`{host}`").cast("string").alias("__host"), F.xxhash64(t).alias("__text"),
-        F.explode(F.concat(F.array(none), lines)).alias("__x"),
-    ).select(*keep, "__host", "__text", "__x.line", "__x.words")
+
+
+def frequent_lines(docs: DataFrame, min_line_docs: int, max_line_docs: int, line_percent: int) -> DataFrame:
+    """(host, line) of the lines beyond their host's limit, from rows (doc, host, lines).
+
+    Documents are counted by id. Lines that a document repeats are made one before the shuffle, and counts
+    are partly summed before theirs, so a line of all documents costs a row for each task."""
+    held = docs.select("host", "doc", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).distinct()
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") >= min_line_docs)
+    hosts = docs.select(F.col("host").alias("of"), "doc").distinct().groupBy("of").agg(F.count(F.lit(1)).alias("host_docs"))
+    much = (F.col("line_docs") >= max_line_docs) | (100 * F.col("line_docs") >= line_percent * F.col("host_docs"))
+    return counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(much).select("host", "line")
 
 
 def quality_rules(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 20,
-    max_repeat_percent: int = 30, min_line_docs: int = 20, line_share: float = 0.1, min_left_percent: int = 30,
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 20, max_repeat_percent: int = 30,
+    min_line_docs: int = 10, max_line_docs: int = 100, line_percent: int = 1, min_left_percent: int = 50,
 ) -> DataFrame:
     """The base figures, ``n_removed_words``, ``base_failed`` and ``kept`` of each row.
 
-    A line is removed if at least ``min_line_docs`` distinct documents of the
-    host hold it and they are ``line_share`` of the host's or more; a document
-    is depleted if fewer than ``min_left_percent`` of its words are left.
+    A line is removed on a host if at least ``min_line_docs`` of its documents hold it, and they are
+    ``line_percent`` of them or ``max_line_docs``, whichever is less. So the limit grows with small hosts and stands still
+    on large ones. A document is depleted if fewer than ``min_left_percent`` of its words are left.
+
+    Texts are read and parsed once: figures and line hashes go to a table, and the rest works on that.
     """
     figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    source = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias("__body"), F.col(f"`{host}`").alias("__source"))
-
-    held = line_rows(source, "__body", "__source", []).select("__host", "line", "__text").distinct()
-    counts = held.groupBy("__host", "line").count()
-    hosts = counts.filter("line IS NULL").select(F.col("__host").alias("__of"), F.col("count").alias("host_docs"))
-    common = (
-        counts.filter(F.col("line").isNotNull() & (F.col("count") >= min_line_docs))
-        .join(hosts, F.col("__host").eqNullSafe(F.col("__of")))
-        .filter(F.col("count") >= F.col("host_docs") * line_share)
-        .select(F.coalesce("__host", F.lit("")).alias("h"), F.col("__host").isNull().alias("none"), F.col("line").alias("l"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    rows = line_rows(base_figures(source, "__body"), "__body", "__source", [F.col(c) for c in (id_col, *figures)])
-    rows = rows.withColumn("__salt", F.pmod(F.col("__text"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(
-        common,
-        (F.coalesce("__host", F.lit("")) == F.col("h")) & (F.col("__host").isNull() == F.col("none"))
-        & (F.col("line") == F.col("l")) & (F.col("__salt") == F.col("salt")),
-        "left",
-    )
-    docs = joined.groupBy(id_col, "__host", "__text", *figures).agg(
-        F.sum(F.when(F.col("line").isNull(), 1).otherwise(0)).alias("__copies"),
-        F.sum(F.when(F.col("l").isNotNull(), F.col("words")).otherwise(0)).alias("__removed"),
+    source = df.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("body"), F.col(f"`{host}`").cast("string").alias("host"))
+    docs = stored(base_figures(source, "body").select(
+        "doc", "host", *figures, line_counts(F.coalesce("body", F.lit(""))).alias("lines"), F.monotonically_increasing_id().alias("row")
+    ))
+    common = frequent_lines(docs, min_line_docs, max_line_docs, line_percent).select(
+        F.coalesce("host", F.lit("")).alias("h"), F.col("host").isNull().alias("none"), F.col("line").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
-    removed = (F.col("__removed") / F.col("__copies")).cast("long")
+    rows = docs.select("row", F.coalesce("host", F.lit("")).alias("rh"), F.col("host").isNull().alias("rn"), F.inline("lines")).withColumn("rs", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    same = (F.col("rh") == F.col("h")) & (F.col("rn") == F.col("none")) & (F.col("line") == F.col("l")) & (F.col("rs") == F.col("salt"))
+    removed = rows.join(common, same).groupBy(F.col("row").alias("of_row")).agg(F.sum("words").alias("removed"))
+    joined = docs.drop("lines", "host").join(removed, F.col("row") == F.col("of_row"), "left").withColumn("n_removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return docs.select(
-        id_col, *figures, failed.alias("base_failed"),
-        (~failed & (100 * (F.col("n_words") - removed) >= min_left_percent * F.col("n_words"))).alias("kept"),
-        removed.alias("n_removed_words"), F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy"),
-    ).drop("__copy")
+    left = 100 * (F.col("n_words") - F.col("n_removed_words")) >= min_left_percent * F.col("n_words")
+    return joined.select(F.col("doc").alias(id_col), *figures, failed.alias("base_failed"), (~failed & left).alias("kept"), "n_removed_words")

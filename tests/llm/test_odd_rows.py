@@ -366,10 +366,47 @@ def test_frequent_lines_deplete_documents(spark):
     menu = "Home About Contact Imprint and many other words of a menu that every page of this host has got"
     own = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
     rows = [(i, f"{menu}\n{own(i)}", "a") for i in range(40)] + [(100 + i, f"{menu} \nfew own words {i} here", "a") for i in range(3)] + [(200, f"{menu}\nfew words", "b"), (201, f"{menu}\nfew words", None)]
-    rows += [(300 + i, f"the one text that was copied {own(0)}", "c") for i in range(50)]
-    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    rows += [(300 + i, f"a page that the host serves again and again {own(0)}", "c") for i in range(50)] + [(400 + i, f"{own(i)}\nfew copies", "d") for i in range(9)]
+    rows += [(None, f"{menu}\n{own(i)}", "e") for i in range(30)]  # one document, as they share an id
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()}
     assert all(got[i].kept and got[i].n_removed_words == 19 for i in range(40)) and not any(got[100 + i].kept for i in range(3))
-    assert got[200].kept and got[201].kept and all(got[300 + i].kept for i in range(50))
+    assert got[200].kept and got[201].kept and not any(got[300 + i].kept for i in range(50)) and all(got[400 + i].kept for i in range(9))
+    assert got[None].n_removed_words == 0
+
+
+def test_line_limits_of_small_and_large_hosts(spark):
+    """9 documents are too few anywhere, 1 % is the limit between 1,000 and 10,000 documents, 100 from there on."""
+    line = lambda k: f"a line that {k} documents of this host hold, beside other lines"
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10_500, "large").when(F.col("id") < 11_900, "middle").otherwise("small").alias("source"))
+    place = F.col("doc_id") - F.when(F.col("source") == "large", 0).when(F.col("source") == "middle", 10_500).otherwise(11_900)
+    text = F.concat_ws("\n", F.concat(F.lit("own words "), "doc_id", F.lit(" own" * 30)), *[F.when(place < k, line(k)) for k in (9, 10, 13, 14, 99, 100)])
+    got = quality_rules.quality_rules(docs.withColumn("text", text)).withColumnRenamed("doc_id", "id").join(docs, F.col("id") == F.col("doc_id"))
+    first = {r.source: r.n for r in got.groupBy("source").agg(F.max("n_removed_words").alias("n")).collect()}
+    words = 12  # of each of these lines
+    assert first == {"small": 5 * words, "middle": 3 * words, "large": words}
+
+
+def brute_kept(docs):
+    """{doc_id: (n_removed_words, kept)}; docs: {doc_id: (text, host)}."""
+    held, size = collections.defaultdict(set), collections.Counter(host for _, host in docs.values())
+    lines = {i: [(x.strip(brute.SPACES).lower(), len(brute.words(x))) for x in (t or "").split("\n") if brute.words(x)] for i, (t, _) in docs.items()}
+    for i, found in lines.items():
+        for x, _ in found:
+            held[docs[i][1], x].add(i)
+    out = {}
+    for i, (t, host) in docs.items():
+        gone = sum(n for x, n in lines[i] if len(held[host, x]) >= 10 and (len(held[host, x]) >= 100 or 100 * len(held[host, x]) >= size[host]))
+        n, *_, repeated = brute.base_rules(t)
+        out[i] = (gone, n >= 20 and 100 * repeated <= 30 * n and 100 * (n - gone) >= 50 * n)
+    return out
+
+
+def test_quality_rules_against_brute_force(spark):
+    """On the largest tables the rule removes words and rejects documents that pass the base rules."""
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table).collect()}
+    assert {i: (r.n_removed_words, r.kept) for i, r in got.items()} == brute_kept({r.doc_id: (r.text, r.source) for r in table.collect()})
+    assert sum(r.n_removed_words > 0 for r in got.values()) > 1000 and any(not r.kept and not r.base_failed for r in got.values())
 
 
 def test_components(spark):

@@ -168,6 +168,38 @@ def test_sharding_of_a_hot_group(spark, monkeypatch):
     assert all(len(s) == 1 for s in shards.values())
 
 
+def test_sharding_in_many_rounds_and_steps(spark, monkeypatch):
+    """More rounds of subdividing than six, ranges in steps, one id in a third of the rows: slots stay gapless and sizes near equal."""
+    monkeypatch.setattr(sharding, "OVERSAMPLE", 1)
+    monkeypatch.setattr(sharding, "OVERFULL", 0.05)
+    rows = spark.range(750).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text").otherwise(F.concat(F.lit("t "), "id")).alias("text"), F.col("id").alias("more")
+    )
+    rounds = []
+    cut = sharding._cut
+    monkeypatch.setattr(sharding, "_cut", lambda *a: rounds.append(1) or cut(*a))
+    for most, step in ((1 << 14, 100), (16, 100), (16, 8 << 20)):
+        monkeypatch.setattr(sharding, "MAX_RANGES", most)
+        slots, sizes = collections.defaultdict(list), collections.Counter()
+        for r in sharding.shard(rows, 4, range_bytes=step).collect():
+            slots[r.shard].append(r.slot)
+            sizes[r.shard] += r["size"]
+        assert sum(map(len, slots.values())) == 750 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+        assert max(sizes.values()) - min(sizes.values()) <= 0.03 * sum(sizes.values())
+    assert len(rounds) > 20
+
+
+def test_steps_keep_the_order(spark):
+    """Later rows of a range stand in the same or a later step, also in ranges inside a group of equal texts."""
+    cuts, steps = [(-(2**62), sharding._LEAST), (5, sharding._LEAST), (5, 0), (5, 2**61), (2**62, sharding._LEAST)], [3, 7, 2, 4, 5, 1]
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(d)) for g, d in rng.integers(-(2**63), 2**63 - 1, (500, 2))] + [(5, int(d)) for d in rng.integers(-(2**63), 2**63 - 1, 300)] + cuts + [(2**63 - 1, 2**63 - 1), (-(2**63), -(2**63))]
+    found = spark.createDataFrame(rows, "g long, d long").withColumn("__r", sharding._range_of(cuts)).withColumn("__s", sharding._step_of(cuts, steps)).collect()
+    in_order = [(r["__r"], r["__s"]) for r in sorted(found, key=lambda r: (r.g, r.d))]
+    assert in_order == sorted(in_order) and {r for r, _ in in_order} == set(range(6)) and all(0 <= s < steps[r] for r, s in in_order)
+    assert len({s for r, s in in_order if r == 1}) > 3 and len({s for r, s in in_order if r == 2}) == 2
+
+
 def test_write_shards(spark, odd, tmp_path):
     sharding.write_shards(sharding.shard(odd, 3), f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == len(ODD)

@@ -8,11 +8,13 @@ go left. The blocks of a source, in a second permutation, are dealt to the shard
 disjoint runs of these lengths, and each shard orders its own by a hash.
 
 Ranks and running sums inside a source come from counts of hash ranges, so a source with a third of
-all rows is spread over all tasks. The driver holds one row for each source, as the weights are.
+all rows is spread over all tasks. The driver holds one row for each source, as the weights are, and the quotas
+of all sources and shards, ``MAX_ENTRIES`` at most; more are refused.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
@@ -26,8 +28,8 @@ from .shared import WORD, hidden, n_words, stored
 #: Hash ranges of a source hold about so many words; there are at most 2 to MAX_BITS.
 RANGE_WORDS, MAX_BITS = 1 << 21, 18
 SHARD_WORDS = 1 << 26
-#: Figures by source (and shard) are broadcast up to so many entries.
-MAX_ENTRIES = 1 << 20
+#: The most figures by source and shard: 64 MB, which every task may hold.
+MAX_ENTRIES = 1 << 23
 
 
 def cycle_weights(sources: Sequence[str | None]) -> list[int]:
@@ -53,19 +55,68 @@ def targets(sizes: Sequence[int], weights: Sequence[int], share: Fraction = Frac
     return out
 
 
+def _stirling_error(n: int) -> float:
+    """log n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n / n) / n / n) / n / n) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, also where the two are close."""
+    d = x - mean
+    if abs(d) < 0.1 * (x + mean):
+        v = d / (x + mean)
+        total, term, k = d * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            more = total + term / (2 * k + 1)
+            if more == total:
+                return total
+            total, k = more, k + 1
+    return x * math.log(x / mean) - d
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """log of the binomial probability, to double precision at any size."""
+    if x == 0:
+        return n * (math.log1p(-p) if p < 0.5 else math.log(q))
+    if x == n:
+        return n * (math.log1p(-q) if q < 0.5 else math.log(p))
+    return (
+        _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+        + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+    )
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many good ones are among n drawn without replacement: one law, by rejection, for populations of any size.
+
+    The law is log-concave, so p min(1, exp(1 - p |k - mode|)) is above it, where p is its probability of the mode."""
+    if not n or not good:
+        return 0
+    if n == good + bad or not bad:
+        return min(good, n)
+    p, q = n / (good + bad), (good + bad - n) / (good + bad)
+    log = lambda k: _log_binomial(k, good, p, q) + _log_binomial(n - k, bad, p, q)
+    mode = (n + 1) * (good + 1) // (good + bad + 2)
+    top, low, high = log(mode), max(0, n - bad), min(n, good)
+    peak = math.exp(top - _log_binomial(n, good + bad, p, q))
+    w = 1 + peak / 2
+    while True:
+        u, v, x = rng.random(), 1 - rng.random(), 1 - rng.random()
+        y = v * w / peak if u <= w / (1 + w) else (w - math.log(v)) / peak
+        k = mode + (1 if rng.random() < 0.5 else -1) * round(y)
+        if low <= k <= high and math.log(x) + min(0.0, w - peak * y) <= log(k) - top:
+            return k
+
+
 def split_quotas(quotas: Sequence[int], n_shards: int, seed: int) -> np.ndarray:
     """How many blocks of each source (rows) each shard (columns) gets: every shard gets an even
     part of all blocks, and every source's blocks go somewhere."""
     rng = np.random.default_rng(seed)
     out = np.zeros((len(quotas), n_shards), dtype=np.int64)
 
-    def draw(good: int, bad: int, n: int) -> int:
-        if good + bad < 10**9:
-            return int(rng.hypergeometric(good, bad, n))
-        p = good / (good + bad)  # the normal law, within the possible values
-        sd = (n * p * (1 - p) * (good + bad - n) / (good + bad - 1)) ** 0.5
-        return min(max(round(rng.normal(n * p, sd)), n - bad, 0), good, n)
-
     def node(have: list[int], a: int, b: int) -> None:
         if b - a == 1:
             out[:, a] = have
@@ -75,7 +126,7 @@ def split_quotas(quotas: Sequence[int], n_shards: int, seed: int) -> np.ndarray:
         go, rest = [], total
         for h in have:  # one hypergeometric draw for each source, given those before
             rest -= h
-            x = draw(h, rest, left) if h and left else 0
+            x = hypergeometric(rng, h, rest, left)
             go.append(x)
             left -= x
         node(go, a, middle)
@@ -96,9 +147,10 @@ class Mix:
     block_words: int
 
 
-def _small(table: DataFrame, entries: int) -> DataFrame:
-    """A table made on the driver, for joins by source: it goes to all executors if it has MAX_ENTRIES at most."""
-    return F.broadcast(table) if entries <= MAX_ENTRIES else table
+def _ends_before(ends: Column, rank: Column, n: int) -> Column:
+    """How many of n ascending ends are not beyond the rank: a binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, w: F.when(F.get(ends, at + w - 1) <= rank, at + w).otherwise(at))
 
 
 def _key(source: str) -> Column:
@@ -125,19 +177,24 @@ def mix(
     documents = stored(
         rows.groupBy("key", "doc", "t", "size").count().select("key", "doc", "t", "size", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
     )
-    stats = sorted(documents.groupBy("key").agg(F.sum("size").alias("size")).collect(), key=lambda r: (not r.key, r.key))  # a row for each source
+    by_key = documents.groupBy("key").agg(F.sum("size").alias("size"))
+    stats = sorted(by_key.limit(MAX_ENTRIES // 16 + 1).collect(), key=lambda r: (not r.key, r.key))  # a row for each source, of a bounded number
+    if len(stats) * (n_shards or 16) > MAX_ENTRIES:
+        raise ValueError(f"too many sources to mix: {len(stats)} times the shards is over {MAX_ENTRIES}")
     names, sizes = [r.key[1:] if r.key else None for r in stats], [int(r["size"]) for r in stats]
     n_shards = n_shards or max(16, -(-sum(sizes) // SHARD_WORDS))
+    if len(names) * n_shards > MAX_ENTRIES:
+        raise ValueError(f"{len(names)} sources times {n_shards} shards are over {MAX_ENTRIES}; mix fewer sources or name fewer shards")
     weights = weigh(names)
     goal = targets(sizes, weights, share)
     whole = [0 if not s else int(g) // s for s, g in zip(sizes, goal, strict=True)]
     rest = [round(g) - f * s for s, g, f in zip(sizes, goal, whole, strict=True)]
     keys = [r.key for r in stats]
-    sources = _small(
-        spark.createDataFrame([(k, n, s, float(g), w) for k, n, s, g, w in zip(keys, names, sizes, goal, weights, strict=True)], "key string, source string, source_size long, target double, weight int"),
-        len(keys),
+    # figures by source, and by source and shard, have MAX_ENTRIES entries at most
+    sources = F.broadcast(
+        spark.createDataFrame([(k, n, s, float(g), w) for k, n, s, g, w in zip(keys, names, sizes, goal, weights, strict=True)], "key string, source string, source_size long, target double, weight int")
     )
-    plan = _small(spark.createDataFrame([(k, f, r) for k, f, r in zip(keys, whole, rest, strict=True)], "key string, passes int, rest long"), len(keys))
+    plan = F.broadcast(spark.createDataFrame([(k, f, r) for k, f, r in zip(keys, whole, rest, strict=True)], "key string, passes int, rest long"))
     bits = min(MAX_BITS, max(6, (sum(sizes) // RANGE_WORDS).bit_length()))
 
     blocks = (
@@ -151,7 +208,7 @@ def mix(
     by_source = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = blocks.filter("rest > 0").groupBy("key", "range", "rest").agg(F.sum("words").alias("words")).withColumn("upto", F.sum("words").over(by_source))
     crossing = filled.filter("upto >= rest AND upto - words < rest").select("key", "range", (F.col("upto") - F.col("words")).alias("before")).collect()  # a row for each source
-    edge = _small(spark.createDataFrame([(r.key, int(r.range), int(r.before)) for r in crossing], "key string, edge long, before long"), len(keys))
+    edge = F.broadcast(spark.createDataFrame([(r.key, int(r.range), int(r.before)) for r in crossing], "key string, edge long, before long"))
     partial = blocks.filter("rest > 0").join(edge, "key").filter("range <= edge")
     order = Window.partitionBy("key").orderBy("u", "doc", "t", "copy", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = partial.filter("range = edge").withColumn("left", F.col("rest") - F.col("before") - F.sum("words").over(order) + F.col("words"))
@@ -165,11 +222,11 @@ def mix(
     ranges = chosen.groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"))
     quota = {r.key: r.n for r in ranges.groupBy("key").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     drawn = split_quotas([quota.get(k, 0) for k in keys], n_shards, seed).cumsum(axis=1)
-    ends = _small(spark.createDataFrame([(k, [int(x) for x in row]) for k, row in zip(keys, drawn, strict=True)], "key string, ends array<long>"), drawn.size)
+    ends = F.broadcast(spark.createDataFrame([(k, row.tolist()) for k, row in zip(keys, drawn, strict=True)], "key string, ends array<long>"))
     before = ranges.withColumn("before", F.sum("n").over(by_source) - F.col("n")).select("key", "range", "before")
     in_range = Window.partitionBy("key", "range").orderBy("v", "doc", "t", "copy", "block", "epoch")
     ranked = chosen.join(before, ["key", "range"]).withColumn("rank", F.col("before") + F.row_number().over(in_range) - 1)
-    shard = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
+    shard = _ends_before(F.col("ends"), F.col("rank"), n_shards)
     local = Window.partitionBy("shard").orderBy(F.xxhash64("v", F.lit(seed + 2)), "key", "rank")
     placed = ranked.join(ends, "key").withColumn("shard", shard).withColumn("place", F.row_number().over(local) - 1)
     return Mix(documents, sources, placed.select("key", "doc", "t", "copy", "block", "epoch", "words", "taken", "shard", "place"), block_words)

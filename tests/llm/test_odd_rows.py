@@ -98,6 +98,45 @@ def test_splitting_tree():
     assert large.sum(axis=1).tolist() == [10**10, 3 * 10**10] and abs(large[0] / large.sum(axis=0) - 0.25).max() < 1e-3
 
 
+def test_hypergeometric_draws():
+    """The law against its probabilities, and its mean and variance where populations pass 10^9."""
+    import math
+
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((5, 7, 6), (30, 1, 20), (100, 300, 50), (3, 1000, 900), (50, 60, 109), (0, 5, 3), (5, 0, 3), (4, 4, 8)):
+        seen = np.bincount([mixing.hypergeometric(rng, good, bad, n) for _ in range(10_000)], minlength=min(good, n) + 1)
+        told = np.array([math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) * 10_000 if 0 <= n - k <= bad else 0 for k in range(len(seen))])
+        assert not seen[told == 0].any() and (((seen - told)[told > 5] ** 2 / told[told > 5]).sum() < 3 * (told > 5).sum() + 10)
+    for scale in (10**8, 10**9, 10**12):  # below and above any limit of a library's sampler: one law
+        good, bad, n = scale, 30 * scale, 5 * scale
+        got = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(2000)], dtype=np.float64)
+        mean, var = n / 31, n / 31 * 30 / 31 * (good + bad - n) / (good + bad - 1)
+        assert abs(got.mean() - mean) < 5 * (var / 2000) ** 0.5 and 0.85 < got.var() / var < 1.15
+
+
+def test_mix_is_dealt_by_the_quotas(spark, docs):
+    """Every pass holds each block once at most, shards hold what the tree drew, and places number each shard's blocks."""
+    m = mixing.mix(docs, n_shards=5)
+    rows = m.blocks.collect()
+    assert len({(r.key, r.doc, r.copy, r.block, r.epoch) for r in rows}) == len(rows)
+    by_source = collections.Counter(r.key for r in rows)
+    keys = sorted(by_source, key=lambda k: (not k, k))
+    drawn = mixing.split_quotas([by_source[k] for k in keys], 5, 7)
+    assert collections.Counter((r.key, r.shard) for r in rows) == {(k, i): int(n) for k, row in zip(keys, drawn, strict=True) for i, n in enumerate(row) if n}
+    shards = collections.defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r.place)
+    assert all(sorted(v) == list(range(len(v))) for v in shards.values())
+    mixed = [r.key for r in sorted(rows, key=lambda r: (r.shard, r.place))]
+    assert sum(a != b for a, b in zip(mixed, mixed[1:])) > len(mixed) / 2  # sources alternate within a shard
+
+
+def test_too_many_sources_are_refused(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_ENTRIES", 64)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(docs)
+
+
 def test_targets():
     assert [float(x) for x in mixing.targets([10, 100, 100], [3, 1, 2])] == [20.0, (315 - 20) / 3, (315 - 20) * 2 / 3]
     assert mixing.targets([0, 0], [3, 1]) == [0, 0] and mixing.targets([], []) == []

@@ -8,7 +8,9 @@ are taken in order of length and cut off; where it is high, a candidate's direct
 lie within the range that the threshold leaves for the query's largest coordinates. What is left
 is verified by exact integer products. The chunks' best are merged at the end.
 
-Queries are a stated set and meet the chunks in blocks. Tasks hold one chunk and one block.
+Queries are a stated set and meet the chunks in blocks of queries that need candidates of about the same
+length, so a bucket's vectors are sent to those blocks only whose queries can visit the bucket. Tasks hold one chunk and
+one block: of N vectors and Q queries, N Q / BLOCK + N Q / CHUNK are sent at most.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 #: Vectors of a chunk, queries of a block, and the longest vectors that give the first bounds.
-CHUNK, BLOCK, SEEDS = 8192, 1024, 2048
+CHUNK, BLOCK, SEEDS = 8192, 8192, 2048
 #: Lengths of a bucket differ by this factor at most.
 FACTOR = 1.1
 #: From this local cosine threshold on, coordinates prune; below, lengths.
@@ -127,14 +129,14 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col:
     Both tables have an id and a vector of integers (array<long>). Rows with a null id or vector take no part,
     nor does a candidate with the query's id. Ties go to the smaller id; a query with
     fewer than k candidates gets all. Shorter vectors count as filled with zeros. Repeated rows are candidates
-    of their own; queries with the same id are answered once. Empty tables give an empty result.
+    of their own; queries with the same id are answered once, for the least of their vectors. Empty tables give an empty result.
     """
     spark = candidates.sparkSession
     read = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<long>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(FACTOR)).cast("int")).otherwise(-1)
     base = stored(read(candidates).withColumn("norm", norm).withColumn("bucket", bucket))
-    asked = stored(read(queries).dropDuplicates(["id"]).withColumn("norm", norm))
+    asked = stored(read(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("norm", norm))
     stats = {r.bucket: (r.n, r.most) for r in base.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most")).collect()}  # a row for each factor of length
     empty = "query_id long, rank int, id long, score long"
     n_queries, width_q = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
@@ -158,19 +160,30 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=["id", "v", "norm", "bound"])
 
     bounded = asked.mapInArrow(bound, "id long, v array<long>, norm double, bound double")
-    blocks = -(-n_queries // BLOCK)
-    table = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(-(-n // CHUNK)).alias("chunks"), F.lit(m).alias("most")) for b, (n, m) in stats.items()])
-    place = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    visits = (
-        bounded.withColumn("block", place).select("*", F.inline(table))
-        .filter(F.col("bound").isNull() | (F.col("bound") <= 0) | (F.col("norm") * F.col("most") * (1 + 1e-9) >= F.col("bound")))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("bucket", "chunk", "block", "id", "v", "bound")
-    )
-    chunk_of = F.create_map(*[F.lit(x) for b, (n, _) in stats.items() for x in (b, -(-n // CHUNK))])
-    rows = base.withColumn("chunk", F.pmod(F.xxhash64("id", "v"), chunk_of[F.col("bucket")]).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    ).select("bucket", "chunk", "block", "id", "v")
+    # the least length of a candidate that reaches the bound; queries of one level need lengths within a factor
+    need = F.when((F.col("bound") > 0) & (F.col("norm") > 0), F.col("bound") / F.col("norm") * (1 - 1e-9)).otherwise(0.0)
+    level = F.when(F.col("need") > 0, F.floor(F.log("need") / math.log(FACTOR)).cast("int")).otherwise(-(1 << 30))
+    bounded = stored(bounded.withColumn("need", need).withColumn("level", level))
+    levels = [(r.level, -(-r.n // BLOCK), r.need) for r in bounded.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).collect()]  # a row for each factor of length
+    visits = {b: [(lv, blocks) for lv, blocks, least in levels if most * (1 + 1e-9) >= least] for b, (_, most) in stats.items()}
+    chunks = {b: -(-n // CHUNK) for b, (n, _) in stats.items()}
+
+    def spread(by: str, to: dict[int, list[tuple[int, int]]], names: tuple[str, str]) -> Column:
+        """For a row's ``by``, an array of (other side's class, its number of parts)."""
+        kind = f"array<struct<{names[0]}: int, {names[1]}: int>>"
+        out = F.array().cast(kind)
+        for key, found in to.items():
+            if found:
+                out = F.when(F.col(by) == key, F.array(*[F.struct(F.lit(a), F.lit(b)) for a, b in found]).cast(kind)).otherwise(out)
+        return out
+
+    own = lambda n: F.pmod(F.xxhash64("id", "v"), n).cast("int")
+    count_of = lambda by, counts: F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col(by)]
+    rows = base.withColumn("chunk", own(count_of("bucket", chunks))).select("bucket", "chunk", "id", "v", F.inline(spread("bucket", visits, ("level", "blocks"))))
+    rows = rows.select("bucket", "chunk", "level", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v")
+    reached = {lv: [(b, chunks[b]) for b, found in visits.items() if any(x == lv for x, _ in found)] for lv, *_ in levels}
+    asks = bounded.withColumn("block", own(count_of("level", {lv: n for lv, n, _ in levels}))).select("level", "block", "id", "v", "bound", F.inline(spread("level", reached, ("bucket", "chunks"))))
+    asks = asks.select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "level", "block", "id", "v", "bound")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -179,7 +192,7 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, id_col:
             found = list(search_chunk(left.column("id").to_numpy(), matrix(left.column("v"), width), right.column("id").to_numpy(), matrix(right.column("v"), width), bounds, k))
         return pa.table({n: pa.array([int(x[i]) for x in found], pa.int64()) for i, n in enumerate(("query_id", "id", "score"))})
 
-    keys = ("bucket", "chunk", "block")
-    found = rows.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(solve, "query_id long, id long, score long")
+    keys = ("bucket", "chunk", "level", "block")
+    found = rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(solve, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")

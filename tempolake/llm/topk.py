@@ -29,7 +29,7 @@ CHUNK, BLOCK, SEEDS = 8192, 8192, 2048
 #: Lengths of a bucket differ by this factor at most.
 FACTOR = 1.1
 #: From this local cosine threshold on, coordinates prune; below, lengths.
-STEEP = 0.5
+STEEP = 0.8
 #: How many of a query's largest coordinates prune.
 FOCUS = 4
 _TOP, _LOW = 2**63 - 1, -(2**63)
@@ -42,10 +42,10 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of integer matrices, exactly; products beyond 64 bits stop at the range's ends."""
+    """a @ b.T of integer matrices, exactly, as floats or integers; products beyond 64 bits stop at the range's ends."""
     most = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(1, a.shape[1])
     if most < 2**53:
-        return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+        return a.astype(np.float64) @ b.astype(np.float64).T
     if most < 2**62:
         return a @ b.T
     return np.clip((a.astype(object) @ b.astype(object).T), _LOW, _TOP).astype(np.int64)
@@ -80,7 +80,7 @@ def search_chunk(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, querie
     length = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
     order = np.argsort(-length, kind="stable")
     ids, vectors, length = ids[order], vectors[order], length[order]
-    unit = vectors / np.maximum(length, 1e-300)[:, None]
+    unit = np.ascontiguousarray(vectors.T / np.maximum(length, 1e-300))  # by coordinate
     q_length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where(bounds > 0, bounds / (q_length * length[0]), -1.0) * (1 - 1e-9)
@@ -96,24 +96,29 @@ def search_chunk(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, querie
         if not top:
             continue
         scores = products(queries[part], vectors[:top])
-        for row, i in enumerate(part.tolist()):
-            n = int(reach[row])
-            at = np.flatnonzero((ids[:n] != q_ids[i]) & ~(scores[row, :n] < bounds[i]))
-            for j in at[best(ids[at], scores[row, at], k)].tolist():
-                yield q_ids[i], ids[j], scores[row, j]
+        row, at = np.nonzero(~(scores < bounds[part][:, None]))  # a bound that is unknown (nan) leaves all
+        fit = (at < reach[row]) & (ids[at] != q_ids[part[row]])
+        row, at = row[fit], at[fit]
+        for i, own in zip(part.tolist(), np.split(at, np.searchsorted(row, np.arange(1, len(part)))), strict=True):
+            if len(own):
+                mine = scores[np.searchsorted(part, i), own]
+                for j in best(ids[own], mine, k).tolist():
+                    yield q_ids[i], ids[own[j]], mine[j]
     for i in np.flatnonzero(local >= STEEP).tolist():
         t = local[i]
         if t > 1:
             continue
         direction = queries[i] / q_length[i]
         slack = math.sqrt(max(0.0, 1 - t * t))
-        fit = np.ones(len(ids), dtype=bool)
+        at = None
         for f in np.argsort(-np.abs(direction))[:FOCUS].tolist():
+            mine = unit[f] if at is None else unit[f][at]
             wide = slack * math.sqrt(max(0.0, 1 - direction[f] ** 2)) + 1e-9
-            fit &= (unit[:, f] >= direction[f] * t - wide) if direction[f] >= 0 else (unit[:, f] <= direction[f] * t + wide)
+            fit = (mine >= direction[f] * t - wide) if direction[f] >= 0 else (mine <= direction[f] * t + wide)
             # on the far side only a direction beyond the query's own coordinate by more than the slack fails
-            fit &= np.abs(unit[:, f] - direction[f]) <= math.sqrt(max(0.0, 2 - 2 * t)) + 1e-9
-        at = np.flatnonzero(fit & (ids != q_ids[i]))
+            fit &= np.abs(mine - direction[f]) <= math.sqrt(max(0.0, 2 - 2 * t)) + 1e-9
+            at = np.flatnonzero(fit) if at is None else at[fit]
+        at = at[ids[at] != q_ids[i]] if at is not None else np.flatnonzero(ids != q_ids[i])
         if not len(at):
             continue
         scores = products(queries[i : i + 1], vectors[at])[0]

@@ -2,22 +2,32 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes). Equal sets
    make one class; only one document of a class goes on.
-2. Candidate search loses nothing: two sets of a Jaccard similarity t or more, the
-   smaller with a elements, differ in D = a (1 - t) / t elements at most. The hash
-   range is cut into parts; a set signs its first 1.25 (D + 1) parts that hold elements.
-   At most D parts differ, so linked sets share a fifth of their signatures, and a set whose
-   signatures are less shared has no links and goes, round by round. A set whose elements
-   stand in fewer parts than it must sign also signs its least elements, one by one, so
-   many that linked sets have one of them in common (prefix filter); such a set goes only
-   if none of its signatures is shared. What then has a common
-   signature makes similarity families (connected components).
-3. A family is handled by a token-group matrix: its sets are partitioned into groups
-   of similar sets, each group keeps the union of its tokens with their counts, the
-   overlap of a set with a group is bounded by the union, and only groups whose bound
-   can reach t are opened and verified, set by set. Sets that are connected already
-   aren't compared again. A family with many tokens is cut into cells, and each two
-   cells make a task of bounded size.
-4. Verified links give the components.
+2. Candidate search: sets sign parts of the hash range. It loses no link, as shown below. A set that shares fewer
+   signatures with others than a linked set would goes, round by round.
+3. Groups: each set goes to the group of a lead, the least set of a signature, with which it shares most. Large
+   groups are cut into tiles of bounded size, each with the lead. In a tile, the token-group matrix partitions
+   its sets by their least shared token, keeps each part's union of tokens with their counts, bounds the overlap of a
+   set with a part by the union, and only parts whose bound can reach t are opened and verified, set
+   by set. Each set is sent once, so near copies are connected by work in proportion to their number.
+4. Sets that are connected now need no comparison. A signature whose holders are all connected goes, and with
+   it sets that share too few of the others. ``ROUNDS`` times, what is left meets leads of other components.
+5. What then still shares signatures across components is compared as a whole: families (what has signatures in common)
+   are cut into cells, the largest component of each apart from the others, and each two cells make a tile of bounded
+   size, but for two cells of the largest component. So a family of near copies pays for the sets that
+   aren't connected yet, times all, and not for all pairs.
+6. Verified links give the components.
+
+Why no link is lost. Let linked sets A and B have a <= b elements, c of them in common, and u in their union, so
+c >= t u. As c <= a, u <= a / t, and they differ in u - c <= u (1 - t) <= a (1 - t) / t elements, D at most (``most_apart``).
+The hash range is cut into parts; a part's signature stands for all elements in it and its place. A set signs its first
+S = S(a) parts that hold elements. At most D parts differ between A and B. Suppose A has S such parts, of which x
+differ in B, and y parts before the last of them hold elements of B only; x + y <= D. The other S - x are parts of B with the
+same elements, and at most y of them are beyond B's first S: S - D signatures are shared at least, which is over 0 as S > D.
+It is the same if only B has S parts. b signs at the level of a, too, as it signs at all levels from that of
+ceil(b t) up, and a >= b t; and it signs S(b) >= S(a) parts there. If neither set has so many parts, both also sign their least elements one by one,
+n - ceil(n t) + 1 of n: as c >= t b and c >= t a, A and B have ceil(t b) elements in common, and the least of these is among the first of
+both. Two sets with D = 0 are linked only if they are equal, and make one class. All bounds are in integers, and hold for
+0 < num <= den. (Two different elements, parts or sets may have one 64-bit hash, by chance.)
 
 Texts are shuffled once, and of the rest only hashes. The driver holds nothing that
 grows with the table.
@@ -36,8 +46,10 @@ from . import textkernel as K
 from .components import components
 from .shared import apart, drop_stored, stored
 
-#: The most shingles that a task of a family takes from one of its two cells.
-CELL_TOKENS = 500_000
+#: About so many shingles of a group make a tile; a cell of what is left at the end has up to so many.
+TILE_TOKENS, CELL_TOKENS = 1 << 15, 500_000
+#: How often sets meet leads before the rest is compared as a whole.
+ROUNDS = 1
 #: Signatures are hot beyond a share 1 / HOT of all, in a sample of one in SAMPLE documents.
 HOT, SAMPLE = 2048, 16
 #: The rows of a class are joined in so many parts.
@@ -146,10 +158,11 @@ def _signed(df: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -
     )
 
 
-def link(sets: list[np.ndarray], num: int, den: int, cell: np.ndarray | None = None) -> list[tuple[int, int]]:
+def link(sets: list[np.ndarray], num: int, den: int, cell: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (pairs of positions) that connect what the sets' links of num/den connect.
 
-    With ``cell``, only links between sets of different cells are looked for."""
+    With ``cell``, only links between sets of different cells are looked for. Sets of one value of ``known`` are
+    connected already."""
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     end = np.cumsum(size)
@@ -185,7 +198,11 @@ def link(sets: list[np.ndarray], num: int, den: int, cell: np.ndarray | None = N
     row, col = key // n_groups, key % n_groups
     row_at = np.searchsorted(row, np.arange(int(token.max()) + 2))
     weight = np.add.reduceat(count[tok], begin)  # sets near the middle of a family first
-    parent = list(range(n))
+    label = np.arange(n)
+    if known is not None:
+        _, at, of = np.unique(known, return_index=True, return_inverse=True)
+        label = at[of]
+    parent = label.tolist()
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -195,7 +212,6 @@ def link(sets: list[np.ndarray], num: int, den: int, cell: np.ndarray | None = N
 
     found: list[tuple[int, int]] = []
     done = np.zeros(n, dtype=bool)
-    label = np.arange(n)
     mark = np.zeros(int(token.max()) + 1, dtype=bool)
     stop = np.append(begin[1:], len(tok))
     for k in np.argsort(-weight / size[alive], kind="stable").tolist():
@@ -234,13 +250,13 @@ def link(sets: list[np.ndarray], num: int, den: int, cell: np.ndarray | None = N
 
 
 def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Verified links (a, b) inside each tile of rows (tile, cell, cross, node, tokens)."""
+    """Verified links (a, b) inside each tile of rows (tile, cell, node, comp, tokens); a null cell means no cells."""
     def solve(held):
-        if len(held) < 2:
+        if len(held) < 2 or len({c for *_, c, _ in held}) < 2:
             return
-        cell = np.array([c for c, *_ in held]) if held[0][1] else None
-        for x, y in link([np.frombuffer(t, np.uint64) for *_, t in held], num, den, cell):
-            yield held[x][2], held[y][2]
+        cell = None if held[0][0] is None else np.array([c for c, *_ in held])
+        for x, y in link([np.frombuffer(t, np.uint64) for *_, t in held], num, den, cell, np.array([c for *_, c, _ in held])):
+            yield held[x][1], held[y][1]
 
     def run(batches):
         tile, held = None, []
@@ -255,7 +271,7 @@ def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
         out = list(solve(held))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return rows.repartition("tile").sortWithinPartitions("tile").select("tile", "cell", "cross", "node", "tokens").mapInArrow(K.lean(run), "a long, b long")
+    return rows.repartition("tile").sortWithinPartitions("tile").select("tile", "cell", "node", "comp", "tokens").mapInArrow(K.lean(run), "a long, b long")
 
 
 def _shared(live: DataFrame) -> DataFrame:
@@ -280,24 +296,61 @@ def _shared(live: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _core(shared: DataFrame, needs: DataFrame) -> DataFrame:
-    """Takes out, round by round, sets that share fewer signatures than a linked set would, and
-    signatures that then stand alone. What is left still has every link; most sets that
-    only have a passage in common are gone. Fewer rounds would only leave more to verify."""
-    now, n = stored(shared), -1
+def _core(rows: DataFrame) -> DataFrame:
+    """Of rows (sig, set, comp, need), takes out, round by round, sets that share fewer signatures with other
+    components than a linked set would, and signatures that then one component has. What is left still has every
+    link between components; most sets that only have a passage in common are gone. It ends with a round
+    that takes less than a tenth, as fewer rounds only leave more to verify."""
+    now, n = stored(rows), -1
     while True:
         rows = now.count()
-        if rows == n or not rows:
+        if not rows or (n > 0 and rows > 0.9 * n):
             return now
         n = rows
-        keep = now.groupBy("d1").count().join(needs, "d1").filter("count >= need").select("d1")
-        left = now.join(keep, "d1", "left_semi")  # a set has few signatures, as its size bounds them
-        pairs = left.groupBy("sig").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).filter("a < z")
-        later = stored(left.join(apart(pairs, "sig", "a").select("sig"), "sig", "left_semi").select("sig", "d1"))
+        keep = now.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("least")).filter("n >= least").select("set")
+        left = now.join(keep, "set", "left_semi")  # a set has few signatures, as its size bounds them
+        pairs = left.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a < z")
+        later = stored(left.join(apart(pairs, "sig", "a").select("sig"), "sig", "left_semi").select("sig", "set", "comp", "need"))
         drop_stored(now)
         now = later
 
 
+def _groups(core: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(tile, cell, node, comp) of the sets of each group and, in every one of its tiles, the lead.
+
+    core: rows (sig, set, comp, need), where ``set`` is a node. A set goes to the lead of another component with which it shares most."""
+    first = core.groupBy("sig").agg(F.min(F.struct("comp", "set")).alias("f")).select("sig", F.col("f.comp").alias("lead_comp"), F.col("f.set").alias("lead"))
+    met = core.join(apart(first, "sig", "lead"), "sig").filter("comp <> lead_comp").groupBy("set", "comp", "lead", "lead_comp").count()
+    best = met.groupBy("set", "comp").agg(F.max_by(F.struct("lead", "lead_comp"), F.struct("count", "lead")).alias("m")).select(F.col("set").alias("node"), "comp", "m.lead", "m.lead_comp")
+    of = stored(best.join(sizes, "node"))
+    groups = of.groupBy("lead", "lead_comp").agg(F.least(F.count(F.lit(1)), F.ceil(F.sum("size") / TILE_TOKENS)).cast("int").alias("tiles"))
+    leads = groups.select("lead", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("part"), F.col("lead").alias("node"), F.col("lead_comp").alias("comp"))
+    followers = of.join(apart(groups.select(F.col("lead").alias("l"), "tiles"), "l", "tiles"), F.col("lead") == F.col("l")).select("lead", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("part"), "node", "comp")
+    return leads.union(followers).select(F.concat_ws("-", "lead", "part").alias("tile"), F.lit(None).cast("int").alias("cell"), "node", "comp")
+
+
+def _families(core: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(tile, cell, node, comp) of what has signatures in common, each two cells of a family in a tile, but for its largest component's."""
+    leads = core.groupBy("sig").agg(F.min("set").alias("lead"))
+    families = components(core.join(apart(leads, "sig", "lead"), "sig").filter("set <> lead").select("set", "lead").distinct(), "set", "lead").withColumnRenamed("component", "family")
+    of = core.select(F.col("set").alias("node"), "comp").distinct().join(families, "node").join(sizes, "node")
+    parts = stored(of.groupBy("family", "comp").agg(F.sum("size").alias("size")))
+    sums = parts.groupBy("family").agg(F.sum("size").alias("whole"), F.max("size").alias("most"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    cells = lambda tokens: F.ceil(tokens / CELL_TOKENS).cast("int")
+    small = F.col("whole") <= CELL_TOKENS
+    weights = sums.select(
+        F.col("family").alias("f"), F.when(~small, F.col("main")).alias("main"), F.when(small, 0).otherwise(cells(F.col("most"))).alias("main_cells"),
+        F.when(small, 1).otherwise(cells(F.col("whole") - F.col("most"))).alias("rest_cells"),
+    )
+    of = of.join(apart(weights, "f", "main_cells"), F.col("family") == F.col("f"))
+    chosen, mains, rest = F.coalesce(F.col("comp") == F.col("main"), F.lit(False)), F.col("main_cells"), F.col("rest_cells")
+    of = of.withColumn("cell", F.when(chosen, F.pmod(F.xxhash64("node"), mains)).otherwise(mains + F.pmod(F.xxhash64("node"), rest)).cast("int"))
+    of = of.withColumn("other", F.explode(F.sequence(F.when(chosen, mains).otherwise(0), mains + rest - 1)))
+    return of.select(
+        F.concat_ws("-", "family", F.least("cell", "other"), F.greatest("cell", "other")).alias("tile"), F.when(F.col("cell") != F.col("other"), F.col("cell")).alias("cell"), "node", "comp"
+    )
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id): the components of all links num / den and more.
 
@@ -306,20 +359,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     is linked with nothing and its component is null; rows that share an id count as one document in
     a component, and each gives a row. An empty table gives an empty result. Other columns are ignored.
     """
+    if not 0 < num <= den:
+        raise ValueError("the similarity must be over 0 and 1 at most")
     whole = stored(_signed(df, id_col, text, n, num, den))
     signed = stored(whole.drop("sigs"))
     live = signed.filter("id IS NOT NULL AND n_shingles > 0")
-    classes = live.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("rows"))
-    core = _core(_shared(whole.filter("id IS NOT NULL")), live.groupBy("d1").agg(F.min("need").alias("need")))
+    classes = stored(live.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.first("need").alias("need"), F.count(F.lit(1)).alias("rows")))
+    needs = classes.groupBy(F.col("d1").alias("set")).agg(F.min("need").alias("need"))
+    shared = _shared(whole.filter("id IS NOT NULL")).withColumnRenamed("d1", "set")
+    by_hash = _core(shared.join(needs, "set").select("sig", "set", F.col("set").alias("comp"), "need"))
     drop_stored(whole)
-    leads = core.groupBy("sig").agg(F.min("d1").alias("lead"))
-    families = components(core.join(apart(leads, "sig", "lead"), "sig").filter("d1 <> lead").select("d1", "lead").distinct(), "d1", "lead").withColumnRenamed("node", "d1").withColumnRenamed("component", "family")
-    candidates = stored(classes.join(families, "d1").select("node", "size", F.col("d1").alias("e1"), F.col("d2").alias("e2"), "family"))
-    weights = candidates.groupBy("family").agg(F.ceil(F.sum("size") / CELL_TOKENS).cast("int").alias("cells"))
-    wanted = candidates.join(weights, "family")
+    sizes = classes.select("node", "size")
+    core = stored(by_hash.join(classes.select("d1", "node"), F.col("set") == F.col("d1")).select("sig", F.col("node").alias("set"), F.col("node").alias("comp"), "need"))
+    wanted = classes.join(by_hash.select("set").distinct(), F.col("set") == F.col("d1"), "left_semi").select("node", F.col("d1").alias("e1"), F.col("d2").alias("e2"))
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(
         wanted.hint("shuffle_hash"), F.col("id") == F.col("node")
-    ).select("text", "node", "e1", "e2", "family", "cells")
+    ).select("text", "node", "e1", "e2")
 
     def tokens(batches):
         for batch in batches:
@@ -329,16 +384,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
                 if digest(s) == (e1[i], e2[i]):
                     keep.append(i)
                     out.append(s.tobytes())
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in (1, 4, 5)] + [pa.array(out, pa.binary())], names=["node", "family", "cells", "tokens"])
-
-    sets = texts.mapInArrow(K.lean(tokens), "node long, family long, cells int, tokens binary")
-    own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
-    tiles = sets.withColumn("cell", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    tiles = tiles.select(
-        F.concat_ws("-", "family", F.least("cell", "other"), F.greatest("cell", "other")).alias("tile"), "cell", (F.col("cell") != F.col("other")).alias("cross"), "node", "tokens"
-    )
-    linked = components(_links(tiles, num, den), "a", "b")
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["own", "tokens"])
+
+    sets = stored(texts.mapInArrow(K.lean(tokens), "own long, tokens binary"))
+    drop_stored(by_hash)
+    labels = None
+    for turn in range(ROUNDS + 1):
+        left = core if labels is None else _core(core.drop("comp").join(apart(labels, "node", "component"), F.col("set") == F.col("node"), "left").select("sig", "set", F.coalesce("component", "set").alias("comp"), "need"))
+        if left.isEmpty():
+            break
+        tiles = (_groups if turn < ROUNDS else _families)(left, sizes)
+        links = _links(tiles.join(sets, F.col("node") == F.col("own")).drop("own"), num, den)
+        if labels is not None:
+            links = links.union(labels.select("node", "component"))
+        labels = stored(components(links, "a", "b"))
+    drop_stored(sets)
+    linked = df.sparkSession.createDataFrame([], "node long, component long") if labels is None else labels
     named = classes.join(linked, "node", "left").select("d1", "d2", "rows", "node", F.coalesce("component", "node").alias("component_id"))
     named = named.filter("rows > 1 OR component_id <> node").select(
         F.col("d1").alias("c1"), F.col("d2").alias("c2"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("c3")

@@ -370,6 +370,7 @@ def near_copies(rng, base_words, copies, edits):
 @pytest.mark.parametrize("cell", [2_000_000, 3000])
 def test_jaccard_against_brute_force(spark, monkeypatch, n, num, cell):
     monkeypatch.setattr(jaccard, "CELL_TOKENS", cell)
+    monkeypatch.setattr(jaccard, "TILE_TOKENS", min(cell, 1 << 15) // 4)
     monkeypatch.setattr(jaccard, "HOT", 8)
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
     rng = np.random.default_rng(n)
@@ -399,6 +400,32 @@ def test_signatures_find_every_link():
                     assert set(jaccard.signatures(a, num, 100).tolist()) & set(jaccard.signatures(b, num, 100).tolist())
 
 
+def test_no_link_is_lost_at_any_threshold():
+    """Linked pairs of 1 to 40 elements, thresholds from 10 to 100 %, sets spread over the hash range and crowded: each set's bound on shared signatures holds."""
+    rng = np.random.default_rng(10)
+    pairs = 0
+    while pairs < 20_000:
+        num, a = int(rng.integers(10, 101)), int(rng.integers(1, 41))
+        common = int(rng.integers(1, a + 1))
+        more = common * 100 // num - a
+        if more < 0 or (common == a and not more):
+            continue
+        more = more if rng.random() < 0.7 else int(rng.integers(0, more + 1))
+        drawn = rng.integers(0, 2**64, a + more, dtype=np.uint64) >> np.uint64(rng.integers(0, 12) * (rng.random() < 0.5))
+        if len(np.unique(drawn)) < a + more or (common == a and not more):
+            continue
+        one, other = np.sort(drawn[:a]), np.sort(np.r_[drawn[:common], drawn[a:]])
+        (x, least_x), (y, least_y) = jaccard.signed_set(one, num, 100), jaccard.signed_set(other, num, 100)
+        assert len(np.intersect1d(x, y)) >= max(1, least_x, least_y), (num, a, common, more)
+        pairs += 1
+
+
+def test_similarity_must_be_a_share(odd):
+    for num, den in ((0, 100), (-1, 2), (101, 100)):
+        with pytest.raises(ValueError, match="similarity"):
+            jaccard.jaccard_components(odd, num=num, den=den)
+
+
 def test_sets_in_few_parts_share_a_signature():
     """Linked sets whose elements stand in few parts of the hash range, as the pigeonhole rule alone loses them."""
     rng = np.random.default_rng(11)

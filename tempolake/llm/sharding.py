@@ -142,7 +142,9 @@ def shard(
         rows_before.append(rows_before[-1] + n)
 
     def stepped(of: DataFrame) -> DataFrame:
-        return of.withColumn("__r", _range_of(cuts)).withColumn("__s", _step_of(cuts, steps))
+        # inline keeps the searches out of the join's keys, which the optimizer would derive filters from
+        of = of.select("*", F.inline(F.array(F.struct(_range_of(cuts).alias("__r")))))
+        return of.select("*", F.inline(F.array(F.struct(_step_of(cuts, steps).alias("__s")))))
 
     at = lambda xs: F.get(_longs(xs), F.col("__r"))
     earlier = Window.partitionBy("__r").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # rows are steps

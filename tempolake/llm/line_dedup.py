@@ -1,20 +1,27 @@
 """Line dedup by levelled sorted runs of line hashes.
 
 Built from DataFrame functions only. A run is a table of (two line hashes, number
-of documents, largest document id), dealt out by hash and sorted within each
-part. Every batch adds its own run at level 0; a level that holds ``fanout`` runs
-is merged into one run of the next level. A batch's lines are then merge-joined
-against the runs: the anti join keeps lines, its complement names the dropped ones.
-Only hashes and positions are shuffled for this; texts move once, to meet the
+of documents, largest document id), bucketed by the hashes and sorted within each bucket. Documents come in
+batches from the largest id down. A batch's lines are counted, and the counts are merge-joined
+with the runs: keys that are settled, as enough documents hold them, are anti-joined out, the counts of the
+others go on from what the runs say, and the batch adds its own run at level 0. A level that holds ``fanout`` runs is merged
+into one run of the next level. Runs have the number of buckets that the session's shuffles have, so neither
+joining nor merging moves them.
+
+The rule needs more than a feed's: a line goes from earlier batches, too, once a later one settles it. As the
+batch with a key's largest id comes first, a settled key names the document that keeps it, and one join of the lines with
+the settled keys corrects all batches. Only hashes and positions are shuffled for this; texts move once, to meet the
 positions that they lose.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import hidden, shared_dir, stored
+from .shared import hidden, remove, shared_dir, stored
 
 _SPACES = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,48 +39,69 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Levelled sorted runs under a shared folder.
 
-    Holds only the runs' paths on the driver. Runs of a level cover disjoint
-    batches, so counts add up and the largest id is the largest of all.
+    Holds only the runs' names on the driver. With ``settle``, keys that so many documents hold are settled: batches must come
+    from the largest document id down then, and add nothing to them. Without, batches may come in any order.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 3):
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 3, settle: int | None = None):
         if fanout < 2:
             raise ValueError("fanout must be 2 or more")
-        self.spark, self.fanout, self.path = spark, fanout, path or shared_dir(spark)
+        self.spark, self.fanout, self.settle, self.path = spark, fanout, settle, path or shared_dir(spark)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.written = 0
+        self.names: list[str] = []
 
     def _write(self, df: DataFrame, level: int) -> None:
-        path = f"{self.path}/run-{self.written}"
-        self.written += 1
-        df.sortWithinPartitions("k1", "k2").write.option("compression", "zstd").parquet(path)
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.names.append(name)
+        writer = df.select("k1", "k2", "n_docs", "last_doc").write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}")
+        writer.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
 
     def add(self, keys: DataFrame) -> None:
         """Adds the (k1, k2, doc) rows of a batch of documents that no other batch has."""
-        tally = keys.select("k1", "k2", "doc").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
-        self._write(tally, 0)
+        own = keys.select("k1", "k2", "doc").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
+        names = self._runs()
+        for i, name in enumerate(names):  # counts of a run go on from those before, so the largest says all
+            run = self.spark.table(name).select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("n_docs").alias(f"n_{i}"), F.col("last_doc").alias(f"last_{i}"))
+            own = own.join(run.hint("merge"), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left").drop("r1", "r2")
+        before = F.greatest(F.lit(0), F.lit(0), *[F.col(f"n_{i}") for i in range(len(names))])
+        if self.settle is not None:
+            own = own.filter(before < self.settle)
+        self._write(own.select("k1", "k2", (before + F.col("n")).alias("n_docs"), F.greatest("last", "last", *[f"last_{i}" for i in range(len(names))]).alias("last_doc")), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             merged = self._merge(self.levels[level])
-            self.levels[level] = []
+            gone, self.levels[level] = self.levels[level], []
             self._write(merged, level + 1)
+            for name in gone:
+                self._drop(name)
             level += 1
 
-    def _merge(self, paths: list[str]) -> DataFrame:
-        return (
-            self.spark.read.schema("k1 long, k2 long, n_docs long, last_doc long").parquet(*paths)
-            .groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-        )
+    def _merge(self, names: list[str]) -> DataFrame:
+        """Each key's newest row: of an older run, the rows whose keys no newer one has. Newer runs come last."""
+        run = lambda name: self.spark.table(name).select("k1", "k2", "n_docs", "last_doc")
+        whole = run(names[-1])
+        for i, name in enumerate(names[:-1]):
+            own = run(name)
+            for newer in names[i + 1 :]:
+                keys = self.spark.table(newer).select(F.col("k1").alias("r1"), F.col("k2").alias("r2")).hint("merge")
+                own = own.join(keys, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left_anti")
+            whole = whole.union(own)
+        return whole
+
+    def _runs(self) -> list[str]:
+        """All runs, from the oldest on: higher levels hold older batches."""
+        return [name for level in reversed(self.levels) for name in level]
 
     def tally(self) -> DataFrame:
-        """Every key with its number of documents and largest document id."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
+        """Every key with its number of documents and largest document id; of settled keys, as of the batch that settled them."""
+        names = self._runs()
+        if not names:
             return self.spark.createDataFrame([], "k1 long, k2 long, n_docs long, last_doc long")
-        return self._merge(paths)
+        return stored(self._merge(names))
 
     def admit(self, lines: DataFrame) -> DataFrame:
         """The rows (k1, k2, doc, ...) of a new batch whose keys no earlier batch has, and adds the batch's run.
@@ -85,21 +113,41 @@ class LineRuns:
         self.add(lines)
         return fresh
 
+    def _drop(self, name: str) -> None:
+        self.names.remove(name)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, f"{self.path}/{name}")
+
+    def drop(self) -> None:
+        """Removes all runs."""
+        for name in list(self.names):
+            self._drop(name)
+        self.levels = []
+
     def split(self, lines: DataFrame, min_docs: int, how: str) -> DataFrame:
         """Of rows (k1, k2, doc, ...), those that go ("left_semi") or stay ("left_anti")."""
-        common = self.tally().filter(F.col("n_docs") >= min_docs).select(
-            F.col("k1").alias("r1"), F.col("k2").alias("r2"), "last_doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r3")
-        )
-        salted = lines.withColumn("k3", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-        at = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("k3") == F.col("r3")) & (F.col("doc") < F.col("last_doc"))
-        return salted.join(common, at, how).drop("k3")
+        return split(self.tally().filter(F.col("n_docs") >= min_docs), lines, how)
+
+
+def split(settled: DataFrame, lines: DataFrame, how: str) -> DataFrame:
+    """Of rows (k1, k2, doc, ...), those that go ("left_semi") or stay ("left_anti") by the settled keys."""
+    common = settled.select(
+        F.col("k1").alias("r1"), F.col("k2").alias("r2"), "last_doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r3")
+    )
+    salted = lines.withColumn("k3", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    at = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("k3") == F.col("r3")) & (F.col("doc") < F.col("last_doc"))
+    return salted.join(common, at, how).drop("k3")
 
 
 def dedup_lines(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, n_batches: int = 4, fanout: int = 3,
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batch_docs: int = 1 << 16,
+    least_batches: int = 4, most_batches: int = 16, fanout: int = 3,
 ) -> DataFrame:
     """Drops lines that ``min_docs`` documents hold from all but the largest id.
 
+    There is a batch for each ``batch_docs`` documents, within the least and the most number of batches: batches follow each
+    other, so in a large table they are larger, and not more. They are cut at quantiles of the ids.
+
     Returns the table with ``text`` changed and with ``n_lines`` (before) and
     ``n_dropped``; columns of these names are replaced. Lines are the parts
     between \\n; those whose key has fewer than ``min_chars`` code points stay. A
@@ -116,15 +164,22 @@ def dedup_lines(
         F.transform(keys, lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("k1"), F.xxhash64(F.lit(1), k).alias("k2"), i.alias("pos")))),
         lambda x: x.isNotNull(),
     )
+    n_docs = df.count()
+    n_batches = min(most_batches, max(least_batches, -(-n_docs // batch_docs)))
+    ids = df.select(doc.alias("doc"))
+    edges = ids.agg(F.percentile_approx("doc", [i / n_batches for i in range(1, n_batches)], 10_000)).first()[0] if n_batches > 1 else None
+    batch = sum([(F.col("doc") > e).cast("int") for e in sorted({*(edges or [])})], F.lit(0))
     lines = stored(
         df.select(doc.alias("doc"), F.xxhash64(body).alias("t"), F.explode(long_keys).alias("x"))
-        .select("doc", "t", "x.k1", "x.k2", "x.pos", F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(n_batches)).cast("int").alias("batch")),
+        .select("doc", "t", "x.k1", "x.k2", "x.pos", batch.alias("batch")),
         ["batch"],
     )
-    runs = LineRuns(spark, fanout=fanout)
-    for b in range(n_batches):
+    runs = LineRuns(spark, fanout=fanout, settle=min_docs)
+    for b in reversed(range(n_batches)):
         runs.add(lines.filter(F.col("batch") == b).select("k1", "k2", "doc"))
-    lost = runs.split(lines.drop("batch"), min_docs, "left_semi").groupBy("doc", "t").agg(F.collect_set("pos").alias("lost"))
+    settled = runs.tally().filter(F.col("n_docs") >= min_docs)
+    runs.drop()
+    lost = split(settled, lines.drop("batch"), "left_semi").groupBy("doc", "t").agg(F.collect_set("pos").alias("lost"))
     joined = df.select(*hidden(rest), body.alias("__body"), doc.alias("__doc"), F.xxhash64(body).alias("__t")).join(
         lost.hint("shuffle_hash"), (F.col("__doc") == F.col("doc")) & (F.col("__t") == F.col("t")), "left"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +35,40 @@ def n_words(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the session names none (tests on one machine), Spark's warehouse
-    folder serves.
+    Where the session names none, Spark's warehouse folder serves on one machine (tests);
+    on a cluster it may be a folder of the driver's own, so that is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/tempolake-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    """Removes a file or folder on any file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove_old(spark: SparkSession, hours: float = 72.0) -> int:
+    """Removes tables of steps that are older than so many hours, and says how many.
+
+    A result reads some of its steps' tables when it is used, so an operator can't remove them itself. Call
+    this when no result of that age is in use any more."""
+    base = os.path.dirname(shared_dir(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    before = (time.time() - hours * 3600) * 1000
+    old = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("tempolake-") and s.getModificationTime() < before]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
 def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage
     so that a lost executor costs no recomputation, and steps run once."""
@@ -61,7 +89,5 @@ def apart(df: DataFrame, *columns: str) -> DataFrame:
 
 def drop_stored(df: DataFrame) -> None:
     """Removes a table that ``stored`` wrote."""
-    spark = df.sparkSession
     for name in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, name)

@@ -257,7 +257,7 @@ def test_line_dedup_against_brute_force(spark):
     docs = {i: "\n".join(pool[j] for j in rng.integers(0, len(pool), rng.integers(0, 12))) for i in range(60)}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
     for batches, fanout in ((1, 2), (5, 2), (7, 3)):
-        got = line_dedup.dedup_lines(df, n_batches=batches, fanout=fanout).collect()
+        got = line_dedup.dedup_lines(df, least_batches=batches, most_batches=batches, fanout=fanout).collect()
         assert {r.doc_id: (r.n_lines, r.n_dropped, brute.sha(r.text)) for r in got} == brute.lines(docs)
 
 
@@ -275,12 +275,37 @@ def test_runs_are_compacted_by_levels(spark):
     for b in range(5):
         runs.add(spark.createDataFrame([(1, 1, b), (b, 7, b)], "k1 long, k2 long, doc long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
+    for plan in (runs._merge(runs._runs()), spark.table(runs.names[0]).join(spark.table(runs.names[-1]).hint("merge"), ["k1", "k2"])):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()  # runs lie as their joins and merges need them
     tally = {(r.k1, r.k2): (r.n_docs, r.last_doc) for r in runs.tally().collect()}
     assert tally[(1, 1)] == (5, 4) and tally[(3, 7)] == (1, 3)
     lines = spark.createDataFrame([(1, 1, 0), (1, 1, 4), (3, 7, 3)], "k1 long, k2 long, doc long")
     assert {r.doc for r in runs.split(lines, 3, "left_anti").collect()} == {4, 3} and {r.doc for r in runs.split(lines, 3, "left_semi").collect()} == {0}
 
 
+def test_settled_keys_take_no_more(spark):
+    runs = line_dedup.LineRuns(spark, fanout=2, settle=3)
+    for docs in ((9, 8), (7, 6), (5, 4), (3,)):
+        runs.add(spark.createDataFrame([(1, 1, d) for d in docs] + [(docs[0], 7, docs[0])], "k1 long, k2 long, doc long"))
+    tally = {(r.k1, r.k2): (r.n_docs, r.last_doc) for r in runs.tally().collect()}
+    assert tally[(1, 1)] == (4, 9) and tally[(3, 7)] == (1, 3)  # settled by the second batch
+    names = list(runs.names)
+    runs.drop()
+    assert names and runs.tally().count() == 0 and not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_a_shared_folder_is_asked_for_and_cleared(spark):
+    from types import SimpleNamespace as N
+
+    from tempolake.llm import shared
+
+    far = N(conf=N(get=lambda k, *d: d[0] if d else "file:/here"), sparkContext=N(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(far)
+    shared.stored(spark.range(3))
+    assert shared.remove_old(spark, hours=1) == 0
+
+
 def test_a_feed_admits_new_lines_only(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     seen, batches = set(), [[(1, 1, 5), (1, 1, 6), (2, 2, 5)], [(2, 2, 7), (3, 3, 7)], [(1, 1, 8), (4, 4, 8)], []]

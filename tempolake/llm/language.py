@@ -1,10 +1,14 @@
 """Language ID by Bayesian fusion of evidence.
 
 For each language, the text gives a likelihood (byte trigrams under a model trained here), the declared
-markup language and the address suffix give theirs (how often documents of a language carry
-them), and the host gives the prior: its language shares, smoothed towards those of its suffix group, which
-are smoothed towards the whole table's. Shares and likelihoods of declared values are counts over all
-documents by grouped aggregation, with each document counted for its most likely language by text alone.
+markup language gives one (how often documents of a language carry it), and the address gives the prior: the host's
+language shares, smoothed towards those of its suffix, which are smoothed towards the whole table's. The suffix
+counts once: the share of a language among documents of a suffix is, by Bayes' rule, the table's share times the likelihood of the
+suffix, so a likelihood of its own beside that prior would count it twice; where the host is unknown, the suffix's
+shares are the prior. Shares and likelihoods are counts over all documents by grouped aggregation, with each document
+counted for its most likely language by text alone. ``documents`` have no addresses, only a source that serves as host; ``pages`` have.
+The column ``lang`` is both the label of the fit and the declared value there, so agreement with it proves little: the tests fit and
+judge on different documents, with the declared value hidden and altered.
 
 The languages are those of all labelled documents, by a grouped count; only the fit is bounded: for
 each language, about ``sample`` of its documents are drawn by hash (all where it has no more). Each
@@ -208,7 +212,7 @@ def identify(
         prior = (at("__host_n", i) + strength * group) / (F.col("__host_all") + strength)
         # P(value | language) over its mean for all languages: 1 where the value is unseen
         likely = lambda c, i: F.log((at(c, i) + strength * base[i]) / (total[i] + strength))
-        logs.append(at("__text_ll", i) + F.log(prior) + F.when(F.col("__declared").isNotNull(), likely("__declared_n", i)).otherwise(0.0) + F.when(F.col("__suffix").isNotNull() & F.col("__host").isNull(), likely("__suffix_n", i)).otherwise(0.0))
+        logs.append(at("__text_ll", i) + F.log(prior) + F.when(F.col("__declared").isNotNull(), likely("__declared_n", i)).otherwise(0.0))
     rows = rows.withColumn("__log", F.array(*logs)).withColumn("__top", F.array_max("__log"))
     posterior = 1.0 / F.aggregate("__log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))
     place = F.array_position("__log", F.col("__top")).cast("int")

@@ -170,6 +170,46 @@ def test_language_by_text_alone(spark):
     assert sum(r.language == r.lang for r in got) >= 0.99 * len(got)
 
 
+def test_language_of_other_documents(docs):
+    """Fitted on two thirds of the documents and judged on the rest, with the declared value hidden, and with one in four altered."""
+    fit, held = docs.filter("doc_id % 3 > 0"), docs.filter("doc_id % 3 = 0")
+    model = language.train(fit, "doc_id", "text", "lang")
+    wrong = F.when(F.col("doc_id") % 4 > 0, F.col("lang")).otherwise(F.when(F.col("lang") == "de", "fr").otherwise("de"))
+    for declared in (None, wrong):
+        got = language.identify(held, model, declared=declared, host=F.col("source")).collect()
+        told = [r for r in got if brute.words(r.text)]
+        assert sum(r.language == r.lang for r in told) >= 0.97 * len(told) > 50
+
+
+def test_posterior_is_bayes_rule(spark, docs):
+    """The posterior against a plain computation from the same text likelihoods."""
+    import math
+
+    import pyarrow as pa
+
+    model = language.train(docs, "doc_id", "text", "lang")
+    rows = docs.select("doc_id", F.substring("text", 1, 9).alias("text"), F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("declared"), F.when(F.col("doc_id") % 7 > 0, F.concat("source", F.when(F.col("doc_id") % 2 == 0, ".de").otherwise(".org"))).alias("host"))
+    rows = rows.withColumn("suffix", F.when(F.col("doc_id") % 7 > 0, language.suffix_of(F.col("host"))).when(F.col("doc_id") % 14 == 0, "de"))
+    got = {r.doc_id: r for r in language.identify(rows, model, declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix")).collect()}
+    data = [r.asDict() for r in rows.collect()]
+    ll, _ = model.evidence(pa.array([r["text"] for r in data], pa.large_string()))
+    k, counts = len(model.languages), collections.defaultdict(lambda: np.zeros(len(model.languages)))
+    for r, x in zip(data, ll, strict=True):
+        if x.max() > 0:
+            for name in ("declared", "host", "suffix", None):
+                counts[name, r[name] if name else None][int(x.argmax())] += 1
+    total = counts[None, None]
+    base = (total + 1) / (total.sum() + k)
+    for r, x in zip(data, ll, strict=True):
+        of = lambda name: counts[name, r[name]] if r[name] is not None and (name, r[name]) in counts else np.zeros(k)
+        group = (of("suffix") + 20 * base) / (of("suffix").sum() + 20)
+        prior = (of("host") + 20 * group) / (of("host").sum() + 20)
+        said = (of("declared") + 20 * base) / (total + 20) if r["declared"] is not None else np.ones(k)
+        log = x + np.log(prior) + np.log(said)
+        post = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+        assert math.isclose(got[r["doc_id"]].posterior, post.max(), rel_tol=1e-9) and got[r["doc_id"]].language == model.languages[int(log.argmax())]
+
+
 def test_rare_languages_are_known_and_unknown_ones_rejected(spark, docs):
     rows = docs.filter("length(text) > 200")
     rare = [r.doc_id for r in rows.filter("lang = 'fr'").orderBy("doc_id").limit(3).collect()]

@@ -10,6 +10,10 @@ documents are then gathered from the words.
 
 Rows are independent, so nothing is shuffled and a lost executor costs only its
 tasks. A task keeps at most ``CACHE_WORDS`` finished words between batches.
+
+The index is a slice's, not the whole corpus's: corpus-level words would be made distinct by a shuffle, replayed once,
+and then joined back to every occurrence, which moves each token of the corpus with its place, several times the text.
+Replaying a frequent word once in each slice costs less than that; the README has the figures.
 """
 
 from __future__ import annotations
@@ -224,10 +228,10 @@ def encode(
         + [T.StructField(n_tokens, T.LongType()), T.StructField(ids, T.BinaryType())]
         + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
     )
-    shared = session.sparkContext.broadcast(read_ranks(ranks_path))  # bounded by the vocabulary
+    shared = session.sparkContext.broadcast(Merges(read_ranks(ranks_path)))  # prepared once; bounded by the vocabulary
 
     def run(batches):
-        coder = Encoder(Merges(shared.value), pattern)
+        coder = Encoder(shared.value, pattern)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             texts = [t or "" for t in column.to_pylist()]

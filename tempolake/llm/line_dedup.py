@@ -141,7 +141,7 @@ def split(settled: DataFrame, lines: DataFrame, how: str) -> DataFrame:
 
 def dedup_lines(
     df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batch_docs: int = 1 << 16,
-    least_batches: int = 4, most_batches: int = 16, fanout: int = 3,
+    least_batches: int = 2, most_batches: int = 16, fanout: int = 3,
 ) -> DataFrame:
     """Drops lines that ``min_docs`` documents hold from all but the largest id.
 

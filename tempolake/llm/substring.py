@@ -12,7 +12,17 @@ a whole. Where an anchor stands in different spans, the extension ends inside, a
 its windows are compared one by one, once for each different span. Covered windows
 that touch are then merged into maximal repeats.
 
-Everything is compared by joins and sums on hashes, never pair by pair, so a passage
+This finds what extending each pair of equal anchors word by word, to the left and to the right, would find. A window of
+``length`` words is in a repeat of two documents if and only if both have it; it picks an anchor, and both pick that
+anchor at the same place in the window, so it stands in the reach of a matching anchor pair. The maximal match around
+such a pair covers exactly those windows over the anchor that both documents have: if the spans (all windows that
+pick the anchor) are equal, the match reaches across the whole span on both sides, and the windows beyond pick the neighbouring
+anchors; if they differ, the match ends inside, and comparing the span's windows one by one finds
+where. The union of covered windows over all pairs is then the union of the maximal matches of ``length`` words or more. But a pair at
+a time would cost the square of a passage's holders; comparing with the first holder by joins costs a row for each of them, and
+gives the same answer, as a word goes if any earlier document has its window.
+
+Everything is compared by joins and sums on hashes, so a passage
 that many documents share costs a row for each of them. Texts are shuffled once, by document.
 """
 

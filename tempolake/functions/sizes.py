@@ -12,7 +12,7 @@ from ..model import ENTRY_OVERHEAD
 
 #: Every unit counts 1024 of the one below, whether written K, KB or KiB.
 UNITS = ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
-_SIZE = re.compile(r"\s*([0-9]+(?:\.[0-9]+)?|\.[0-9]+)\s*([A-Za-z]*)\s*")
+_SIZE = re.compile(r"\s*((?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*([A-Za-z]*)\s*")
 
 
 @dataclass(frozen=True, order=True)
@@ -25,7 +25,7 @@ class ReadableSize:
 
     @classmethod
     def parse(cls, text: str) -> ReadableSize:
-        """A number, with a fraction or not, and a unit (case matters); no unit means bytes."""
+        """A number, with a fraction or exponent or not, and a unit (case matters); no unit means bytes."""
         m = _SIZE.fullmatch(text)
         if not m:
             raise ValueError(f"not a size: {text!r}")

@@ -55,10 +55,6 @@ class EncodingError(StoreError):
     """A key or value that is not UTF-8."""
 
 
-class WriteStalled(StoreError):
-    """Too many files wait for compaction."""
-
-
 class CommitConflict(StoreError):
     pass
 

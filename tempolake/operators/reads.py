@@ -33,6 +33,12 @@ def version_exact(log: DataFrame, key_value: object, ts: int, seqno: int, key: s
     return log.filter((F.col(key) == F.lit(key_value)) & (F.col("ts") == ts) & (F.col("seqno") == seqno))
 
 
+def versions_exact(log: DataFrame, probes: DataFrame, key: str = "key") -> DataFrame:
+    """The versions with the key, time and seqno of any of the probes (columns of the log's names)."""
+    wanted = probes.select(F.col(key).alias("__k"), F.col("ts").alias("__t"), F.col("seqno").alias("__s")).distinct()
+    return log.join(wanted, (F.col(key) == F.col("__k")) & (F.col("ts") == F.col("__t")) & (F.col("seqno") == F.col("__s")), "left_semi")
+
+
 def list_prefix(
     log: DataFrame, prefix: str | bytes, limit: int | None = None, as_of: int | None = None, key: str = "key", keep: Column | None = None,
 ) -> DataFrame:

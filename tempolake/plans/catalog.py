@@ -51,27 +51,27 @@ def _kv(df: DataFrame) -> DataFrame:
 
 @query(f"SELECT k, ts, v FROM {_first(f'ts<={MIDDLE} AND k=' + chr(39) + '42' + chr(39))} WHERE rn=1 AND op=0")
 def get_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kv(R.get_point(events_log(spark, sf_dir), "42", MIDDLE, "k"))
+    return _kv(R.get_point(events_log(spark, sf_dir, user=42, max_ts=MIDDLE), "42", MIDDLE, "k"))
 
 
 @query(f"SELECT k, ts, v FROM {_first(f'ts<={MIDDLE}')} WHERE rn=1 AND op=0")
 def snapshot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kv(R.snapshot(events_log(spark, sf_dir), MIDDLE, key="k"))
+    return _kv(R.snapshot(events_log(spark, sf_dir, max_ts=MIDDLE), MIDDLE, key="k"))
 
 
 @query(f"SELECT k, ts, v FROM {_first(f'ts<={MIDDLE}')} WHERE rn=1 AND op=0")
 def snapshot_asof_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kv(R.snapshot(events_log(spark, sf_dir), MIDDLE, key="k", strategy="row_number"))
+    return _kv(R.snapshot(events_log(spark, sf_dir, max_ts=MIDDLE), MIDDLE, key="k", strategy="row_number"))
 
 
 @query(f"SELECT k, ts, v FROM {_first(f'ts<={MIDDLE} AND seqno<=500000')} WHERE rn=1 AND op=0")
 def snapshot_seqno_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kv(R.snapshot(events_log(spark, sf_dir), MIDDLE, 500_000, key="k"))
+    return _kv(R.snapshot(events_log(spark, sf_dir, max_ts=MIDDLE), MIDDLE, 500_000, key="k"))
 
 
 @query(f"SELECT k, ts, v FROM {_first(f'ts<={MIDDLE}', 'seqno DESC, ts DESC', more=', max(op) OVER (PARTITION BY k) gone')} WHERE rn=1 AND gone=0")
 def compat_lww_seqno(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kv(resolve_latest(events_log(spark, sf_dir), MIDDLE, order="seqno", sticky_tombstones=True, key="k"))
+    return _kv(resolve_latest(events_log(spark, sf_dir, max_ts=MIDDLE), MIDDLE, order="seqno", sticky_tombstones=True, key="k"))
 
 
 _BOX = f"k BETWEEN '{FIRST}' AND '{LAST}' AND ts BETWEEN {EARLY} AND {MIDDLE}"
@@ -79,18 +79,21 @@ _BOX = f"k BETWEEN '{FIRST}' AND '{LAST}' AND ts BETWEEN {EARLY} AND {MIDDLE}"
 
 @query(f"SELECT k, ts, v FROM {_first(_BOX)} WHERE rn=1 AND op=0")
 def range_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kv(R.range_latest(events_log(spark, sf_dir), FIRST, LAST, EARLY, MIDDLE, "k"))
+    return _kv(R.range_latest(events_log(spark, sf_dir, min_ts=EARLY, max_ts=MIDDLE), FIRST, LAST, EARLY, MIDDLE, "k"))
 
 
 @query(f"SELECT k, ts, v FROM {_first(_BOX, 'seqno DESC', 'k, ts')} WHERE rn=1 AND op=0")
 def range_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kv(R.range_versions(events_log(spark, sf_dir), FIRST, LAST, EARLY, MIDDLE, "k"))
+    return _kv(R.range_versions(events_log(spark, sf_dir, min_ts=EARLY, max_ts=MIDDLE), FIRST, LAST, EARLY, MIDDLE, "k"))
 
 
-@query("SELECT k, ts, v, seqno FROM kvt WHERE k='42' AND seqno%7=0 AND op=0")
+@query("""SELECT k, ts, v, seqno FROM kvt WHERE op=0 AND (k, ts, seqno) IN
+ (SELECT k, ts, seqno FROM kvt WHERE event_type='purchase' UNION ALL SELECT k, ts+1, seqno FROM kvt WHERE event_type='click')""")
 def version_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact lookups: the versions of all purchases, and of clicks a microsecond later, which aren't there."""
     log = events_log(spark, sf_dir)
-    return log.filter((F.col("k") == "42") & (F.col("seqno") % 7 == 0) & (F.col("op") == 0)).select("k", "ts", "v", "seqno")
+    probes = log.filter("event_type = 'purchase'").select("k", "ts", "seqno").union(log.filter("event_type = 'click'").select("k", F.col("ts") + 1, "seqno"))
+    return R.versions_exact(log, probes, "k").filter("op = 0").select("k", "ts", "v", "seqno")
 
 
 @query(f"SELECT k, ts, v FROM {_first('starts_with(k, ' + chr(39) + '1' + chr(39) + ')')} WHERE rn=1 AND op=0 ORDER BY k LIMIT 10")

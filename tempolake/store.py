@@ -1,16 +1,12 @@
 """A versioned key/value store on Parquet files behind an atomically committed manifest.
 
-Single writes go to a write-ahead segment, which is durable when the call returns, and are staged on the driver
-until ``flush`` makes files of them. Tables of any size go straight to files with ``append``. A read takes
-one manifest version and the staged rows of its time, picks files by key range and time from the manifest, and is
-a DataFrame over them.
+There is one write path: a table of puts and tombstones becomes sorted files and one commit. Single writes are tables
+of a row or a few, and durable when the call returns. A read takes the newest manifest version of its time, other writers'
+commits included, picks files by key range and time from the manifest, and is a DataFrame over them.
 """
 
 from __future__ import annotations
 
-import base64
-import json
-import math
 import threading
 import time
 import uuid
@@ -20,9 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.sizes import entry_size
 from .model import (
-    LOG, CommitConflict, EncodingError, InvalidTimestamp, KeyNotFound, StoreError, WriteBatch, WriteStalled, MAX_KEY_BYTES,
+    LOG, CommitConflict, EncodingError, InvalidKey, InvalidLimit, InvalidTimestamp, KeyNotFound, StoreError, WriteBatch, MAX_KEY_BYTES,
     as_bytes, check_key, check_limit, check_ts,
 )
 from .operators import maintenance, reads
@@ -34,15 +29,11 @@ from .plans.manifest import DataFile, Manifest, Version
 
 @dataclass(frozen=True)
 class Options:
-    #: Staged writes are flushed by themselves from so many bytes on.
-    memtable_bytes: int = 4 << 20
     compaction: CompactionOptions = field(default_factory=CompactionOptions)
     #: "history" keeps all versions in a compaction, "latest" the newest of each key only.
     retention: str = "history"
     #: No version of a time before this is written any more, so compaction may forget old tombstones.
     horizon: int | None = None
-    #: Bulk appends aim at files of about so many bytes.
-    bulk_file_bytes: int = 256 << 20
 
 
 class Store:
@@ -54,15 +45,10 @@ class Store:
         self.spark, self.path, self.options = spark, path.rstrip("/"), options or Options()
         self.manifest = Manifest(spark, self.path)
         self._lock = threading.RLock()
-        self._staged: list[tuple[bytes, int, int, int, int, bytes]] = []
-        self._staged_bytes = 0
         self.closed = False
         if self.manifest.latest() == 0 and self.manifest.files.status("data"):
             self.rebuild()
         self.version = self.manifest.at()
-        self._wal = self.version.flushed
-        self._next_seqno = self.version.next_seqno
-        self._recover()
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options | None = None) -> Store:
@@ -87,26 +73,15 @@ class Store:
         self._open()
         if not len(batch):
             return 0
-        with self._lock:
-            if len(self.version.level(0)) >= self.options.compaction.l0_stop:
-                raise WriteStalled("level 0 is full; compact first")
-            while True:
-                seqno, n = self._next_seqno, self._wal + 1
-                rows = [(k, ts, seqno, i, op, v) for i, (k, ts, op, v) in enumerate(batch)]
-                if self.manifest.files.create(f"_wal/{n:012d}.json", self._encode(rows)):
-                    break
-                self._replay_segment(n)  # another writer's
-            self._wal, self._next_seqno = n, seqno + 1
-            self._staged += rows
-            self._staged_bytes += batch.size
-            if self._staged_bytes >= self.options.memtable_bytes:
-                self.flush()
-            return seqno
+        rows = [(bytearray(k), ts, i, op, bytearray(v)) for i, (k, ts, op, v) in enumerate(batch)]
+        return self._add(self.spark.createDataFrame(rows, "key binary, ts long, op_index int, op byte, value binary"), 1, None)
 
-    def append(self, rows: DataFrame) -> Version:
+    def append(self, rows: DataFrame, files: int | None = None, stream: tuple[str, int] | None = None) -> Version:
         """Adds a table of puts and tombstones (key, ts, value and, if there, op and op_index) as one commit of one seqno.
 
-        The rows are range-partitioned by key and sorted, so a file covers few keys. Bad keys or times are refused as a whole."""
+        The rows are range-partitioned by key and time and sorted, so a file covers few keys, and a hot key is
+        spread over files by time. Without ``files``, Spark chooses how many. Bad keys or times are refused as a whole.
+        ``stream`` names a stream's batch: the commit holds its number, and a batch that is in the store already adds nothing."""
         self._open()
         for c, d in (("op", F.lit(0)), ("op_index", F.lit(0))):
             rows = rows if c in rows.columns else rows.withColumn(c, d)
@@ -119,36 +94,28 @@ class Store:
         table = table.filter(wrong(F.col("key").isNull() | (F.octet_length("key") > MAX_KEY_BYTES), "key")).filter(wrong(F.col("ts").isNull() | (F.col("ts") < 0), "ts")).filter(
             wrong(~F.coalesce(F.col("op").isin(0, 1), F.lit(False)) | F.col("value").isNull(), "op or value")
         )
-        size = table.agg(F.sum(entry_size(F.col("key"), F.col("value")))).first()[0] or 0
-        parts = max(1, math.ceil(size / self.options.bulk_file_bytes))
+        self._add(table, files, stream)
+        return self.version
+
+    def _add(self, table: DataFrame, files: int | None, stream: tuple[str, int] | None) -> int:
+        """One commit of one seqno. The seqno is reserved by a commit of its own, so no two writers share one, and
+        a commit that another writer forestalls is tried again without writing the rows again."""
         with self._lock:
+            if stream is not None and self.refresh().streams.get(stream[0], -1) >= stream[1]:
+                return 0
             while True:
-                seqno = self._next_seqno
-                files = self._write(table.withColumn("seqno", F.lit(seqno).cast("long")), 0, parts)
-                if self._commit(add=files, next_seqno=seqno + 1):
-                    self._next_seqno = max(self._next_seqno, seqno + 1)
-                    return self.version
-                self._next_seqno = max(self._next_seqno, self.version.next_seqno)
-
-    def flush(self) -> Version:
-        """Makes a level-0 file of the staged writes and drops their write-ahead segments."""
-        self._open()
-        with self._lock:
-            if not self._staged:
-                return self.version
-            files = self._write(self._staged_frame(), 0, 1)
-            while not self._commit(add=files, next_seqno=self._next_seqno, flushed=self._wal):
-                pass
-            self._staged, self._staged_bytes = [], 0
-            for name in self.manifest.files.names("_wal"):
-                if int(name.split(".")[0]) <= self.version.flushed:
-                    self.manifest.files.delete(f"_wal/{name}")
-            return self.version
+                seqno = self.refresh().next_seqno
+                if self._commit(next_seqno=seqno + 1):
+                    break
+            made = self._write(table.withColumn("seqno", F.lit(seqno).cast("long")), 0, files)
+            while not self._commit(add=made, stream=stream):
+                if stream is not None and self.version.streams.get(stream[0], -1) >= stream[1]:
+                    return 0
+            return seqno
 
     def close(self) -> None:
-        """Flushes, and compacts once if a level asks for it."""
+        """Compacts once if a level asks for it."""
         if not self.closed:
-            self.flush()
             self.compact_once()
             self.closed = True
 
@@ -157,11 +124,9 @@ class Store:
     def log(self, first: bytes | None = None, last: bytes | None = None, as_of: int | None = None, min_ts: int | None = None, version: int | None = None) -> DataFrame:
         """All versions of a key range and of times, from the files that may hold any; with ``version``, of that commit."""
         self._open()
-        at = self.version if version is None else self.manifest.at(version)
+        at = self.refresh() if version is None else self.manifest.at(version)
         files = at.prune(first, last, as_of, min_ts)
         rows = self.spark.read.schema(LOG).parquet(*[f"{self.path}/{f.path}" for f in files]) if files else self.spark.createDataFrame([], LOG)
-        if version is None and self._staged:
-            rows = rows.unionByName(self._staged_frame())
         return bounded(rows, as_of, None, min_ts, first, last)
 
     def get(self, key: str | bytes, ts: int | None = None) -> dict:
@@ -212,23 +177,23 @@ class Store:
         return reads.asof_join(probes.withColumn(key, F.col(key).cast("binary")), self.log(), time_bucket, key, at)
 
     def stats(self) -> dict:
-        """Staged writes and levels."""
+        """Levels with their files, bytes, entries and limits."""
         self._open()
         levels = []
         for n in range(self.options.compaction.levels):
-            files = self.version.level(n)
+            files = self.refresh().level(n)
             levels.append({"level": n, "files": len(files), "bytes": sum(f.file_size for f in files), "entries": sum(f.entry_count for f in files), "limit": self.options.compaction.limit(n)})
-        return {"version": self.version.number, "staged_rows": len(self._staged), "staged_bytes": self._staged_bytes, "memtable_bytes": self.options.memtable_bytes, "levels": levels}
+        return {"version": self.version.number, "levels": levels}
 
-    @property
-    def slowed(self) -> bool:
-        return len(self.version.level(0)) >= self.options.compaction.l0_slow
+    def refresh(self) -> Version:
+        """Takes up what other writers have committed; every read and write does so first."""
+        self.version = self.manifest.newer(self.version)
+        return self.version
 
     # maintenance
 
     def compact(self) -> int:
-        """Flushes and compacts until no level asks for it; returns the number of jobs."""
-        self.flush()
+        """Compacts until no level asks for it; returns the number of jobs."""
         n = 0
         while self.compact_once():
             n += 1
@@ -236,7 +201,7 @@ class Store:
 
     def compact_once(self) -> Job | None:
         with self._lock:
-            job = pick(self.version, self.options.compaction)
+            job = pick(self.refresh(), self.options.compaction)
             return self.run_job(job) if job else None
 
     def run_job(self, job: Job) -> Job:
@@ -252,27 +217,40 @@ class Store:
         while not self._commit(add=files, remove=gone):
             if not gone <= set(self.version.files):
                 raise CommitConflict("another writer compacted these files")
+        for path in gone:
+            self.manifest.files.create(self._mark(path, "replaced"), b"")
         return job
 
-    def vacuum(self, keep_versions: int = 1) -> int:
-        """Deletes data files that none of the newest versions names; returns how many."""
+    def vacuum(self, keep_versions: int = 1, min_age_hours: float = 24.0) -> int:
+        """Deletes data files that none of the newest versions names and that are older than so many hours; returns how many.
+
+        Younger files may belong to a write that isn't committed yet, or to a reader of the version before."""
         latest = self.manifest.latest()
         named = {p for n in range(max(1, latest - keep_versions + 1), latest + 1) for p in self.manifest.at(n).files}
-        gone = [p for p, *_ in self.manifest.files.status("data") if self._relative(p) not in named]
+        before = (time.time() - min_age_hours * 3600) * 1000
+        gone = [p for p, _, at in self.manifest.files.status("data") if p.endswith(".parquet") and at <= before and self._relative(p) not in named]
         for p in gone:
             self.manifest.files.delete(p, path=True)
         return len(gone)
 
     def rebuild(self) -> Version:
-        """Makes a manifest from the data files that are there, for a store that has lost its own."""
-        found = self.manifest.files.status("data")
+        """Makes a manifest from the data files that are there, for a store that has lost its own.
+
+        Files carry marks beside them: those that no commit took up, and those that a compaction replaced, stay out."""
+        status = self.manifest.files.status("data")
+        marks = {self._relative(p) for p, *_ in status}
         now = time.time() * 1000
-        paths = {self._relative(p): (size, (now - at) / 3_600_000) for p, size, at in found if p.endswith(".parquet")}
+        paths = {self._relative(p): (size, (now - at) / 3_600_000) for p, size, at in status if p.endswith(".parquet")}
+        paths = {p: x for p, x in paths.items() if self._mark(p, "committed") in marks and self._mark(p, "replaced") not in marks}
         files = self._stats([f"{self.path}/{p}" for p in paths], 0) if paths else []
         rows = self.spark.createDataFrame([(f.path, *map(float, paths[f.path])) for f in files] or [("", 0.0, 0.0)], "p string, size double, age double")
         levels = {r.p: r.level for r in rows.select("p", inferred_level(F.col("size"), F.col("age")).alias("level")).collect()}  # a row for each file
         # levels below 0 must not overlap; a file that may be newer than another must stand above it
-        files = [DataFile(**(vars(f) | {"level": 0 if len(files) > 1 and any(f.meets(x) for x in files if x is not f) else levels[f.path]})) for f in files]
+        in_order, reach, crossed = sorted(files, key=lambda f: f.smallest_key), None, False
+        for f in in_order:
+            crossed |= reach is not None and f.smallest_key <= reach
+            reach = f.largest_key if reach is None else max(reach, f.largest_key)
+        files = [DataFile(**(vars(f) | {"level": 0 if crossed else levels[f.path]})) for f in files]
         return self.manifest.commit(self.manifest.at(), add=files)
 
     # parts
@@ -285,31 +263,13 @@ class Store:
         return path[path.index("/data/") + 1 :] if "/data/" in path else path
 
     @staticmethod
-    def _encode(rows: list[tuple]) -> bytes:
-        text = lambda b: base64.b64encode(b).decode()
-        return json.dumps([[text(k), ts, seqno, i, op, text(v)] for k, ts, seqno, i, op, v in rows]).encode()
+    def _mark(path: str, kind: str) -> str:
+        folder, name = path.rsplit("/", 1)
+        return f"{folder}/_{kind}" if kind == "committed" else f"{folder}/_{kind}-{name}"
 
-    def _replay_segment(self, n: int) -> None:
-        try:
-            rows = [(base64.b64decode(k), ts, seqno, i, op, base64.b64decode(v)) for k, ts, seqno, i, op, v in json.loads(self.manifest.files.read(f"_wal/{n:012d}.json"))]
-        except (ValueError, TypeError):
-            rows = []  # a segment that can't be read is left out, as a torn write
-        self._wal = max(self._wal, n)
-        self._staged += rows
-        self._staged_bytes += sum(33 + len(k) + len(v) for k, *_, v in rows)
-        self._next_seqno = max([self._next_seqno, *(r[2] + 1 for r in rows)])
-
-    def _recover(self) -> None:
-        for name in self.manifest.files.names("_wal"):
-            if name.endswith(".json") and (n := int(name.split(".")[0])) > self.version.flushed:
-                self._replay_segment(n)
-
-    def _staged_frame(self) -> DataFrame:
-        return self.spark.createDataFrame([(bytearray(k), ts, s, i, op, bytearray(v)) for k, ts, s, i, op, v in self._staged], LOG)
-
-    def _write(self, rows: DataFrame, level: int, parts: int) -> list[DataFile]:
+    def _write(self, rows: DataFrame, level: int, parts: int | None) -> list[DataFile]:
         folder = f"data/{uuid.uuid4().hex}"
-        out = rows.repartitionByRange(parts, "key") if parts > 1 else rows.coalesce(1)
+        out = rows.coalesce(1) if parts == 1 else rows.repartitionByRange(*([parts] if parts else []), "key", "ts")
         out.sortWithinPartitions("key", F.desc("ts"), F.desc("seqno"), F.desc("op_index")).select(LOG.names).write.parquet(f"{self.path}/{folder}")
         return self._stats([f"{self.path}/{folder}"], level)
 
@@ -320,22 +280,35 @@ class Store:
         now = time.time_ns()
         return [DataFile(self._relative(r.path), level, r["size"], r.n, bytes(r.a).hex(), bytes(r.b).hex(), r.t0, r.t1, r.s, now) for r in rows.collect()]  # a row for each new file
 
-    def _commit(self, **changes) -> bool:
+    def _commit(self, add: list[DataFile] = (), **changes) -> bool:
         """Commits on the version that is held; if another writer was first, takes up its version and says False."""
+        if lost := [f.path for f in add if not self.manifest.files.exists(f.path)]:
+            raise CommitConflict(f"files are gone before their commit: {lost[:3]}")
         try:
-            self.version = self.manifest.commit(self.version, **changes)
+            self.version = self.manifest.commit(self.version, add=add, **changes)
         except CommitConflict:
             self.version = self.manifest.at()
             return False
+        for mark in {self._mark(f.path, "committed") for f in add}:
+            self.manifest.files.create(mark, b"")
         return True
 
 
 def rest_answer(call: Callable[[], object]) -> tuple[int, object]:
-    """A call's answer as a status code and a body."""
+    """A call's answer as an HTTP status and a body."""
+    status, body = _answer(call)
+    return {"OK": 200, "NOT_FOUND": 404, "INVALID_ARGUMENT": 400, "INTERNAL": 500}[status], body
+
+
+def rpc_answer(call: Callable[[], object]) -> tuple[str, object]:
+    """A call's answer as the name of an RPC status (OK, NOT_FOUND, INVALID_ARGUMENT, INTERNAL) and a value or message."""
+    status, body = _answer(call)
+    return status, body if status == "OK" else body["message"]
+
+
+def _answer(call: Callable[[], object]) -> tuple[str, object]:
     try:
-        return 200, call()
-    except KeyNotFound as e:
-        return 404, {"error": "KeyNotFound", "message": str(e)}
-    except (InvalidTimestamp, EncodingError, StoreError) as e:
-        kind = type(e).__name__
-        return (400 if kind.startswith("Invalid") else 500), {"error": kind, "message": str(e)}
+        return "OK", call()
+    except StoreError as e:
+        kinds = ((KeyNotFound, "NOT_FOUND"), ((InvalidKey, InvalidLimit, InvalidTimestamp), "INVALID_ARGUMENT"))
+        return next((status for kind, status in kinds if isinstance(e, kind)), "INTERNAL"), {"error": type(e).__name__, "message": str(e)}

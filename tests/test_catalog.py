@@ -39,3 +39,10 @@ def test_row_crc32(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(("name", "pushed"), [("get_point", ("EqualTo(user_id,42)", "LessThanOrEqual(t")), ("snapshot_asof", ("LessThanOrEqual(t",)), ("range_latest", ("GreaterThanOrEqual(ts,", "LessThanOrEqual(t"))])
+def test_bounds_reach_the_scan(spark, name, pushed):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    filters = next(x for x in plan.split("\n") if "PushedFilters" in x).split("PushedFilters")[1]
+    assert all(p in filters for p in pushed), filters

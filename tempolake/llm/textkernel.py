@@ -93,6 +93,8 @@ def pieces(batches):
         step = max(1, batch.num_rows * PIECE_BYTES // max(batch.nbytes, PIECE_BYTES))
         for at in range(0, max(batch.num_rows, 1), step):
             yield batch.slice(at, step)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def lean(run):

@@ -394,7 +394,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
         if left.isEmpty():
             break
         tiles = (_groups if turn < ROUNDS else _families)(left, sizes)
-        links = _links(tiles.join(sets, F.col("node") == F.col("own")).drop("own"), num, den)
+        # the tokens stream past the small table of tiles, unsorted
+        links = _links(sets.join(tiles.hint("shuffle_hash"), F.col("own") == F.col("node")).drop("own"), num, den)
         if labels is not None:
             links = links.union(labels.select("node", "component"))
         labels = stored(components(links, "a", "b"))

@@ -34,7 +34,7 @@ from .shared import hidden
 CACHE_WORDS = 200_000
 CACHE_BYTES = 16 << 20
 #: Texts are encoded in slices of about so many characters; this bounds a task's memory.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 #: No pair, or none that a merge makes.
 NONE = np.int32(1 << 30)
 

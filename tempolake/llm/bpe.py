@@ -13,7 +13,7 @@ tasks. A task keeps at most ``CACHE_WORDS`` finished words between batches.
 
 The index is a slice's, not the whole corpus's: corpus-level words would be made distinct by a shuffle, replayed once,
 and then joined back to every occurrence, which moves each token of the corpus with its place, several times the text.
-Replaying a frequent word once in each slice costs less than that; the README has the figures.
+That form was not built, so which is faster is not known; the README has what was measured.
 """
 
 from __future__ import annotations

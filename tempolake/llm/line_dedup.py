@@ -2,11 +2,14 @@
 
 Built from DataFrame functions only. A run is a table of (two line hashes, number
 of documents, largest document id), bucketed by the hashes and sorted within each bucket. Documents come in
-batches from the largest id down. A batch's lines are counted, and the counts are merge-joined
-with the runs: keys that are settled, as enough documents hold them, are anti-joined out, the counts of the
-others go on from what the runs say, and the batch adds its own run at level 0. A level that holds ``fanout`` runs is merged
-into one run of the next level. Runs have the number of buckets that the session's shuffles have, so neither
-joining nor merging moves them.
+batches from the largest id down. A batch's lines are counted, keys that are settled, as enough documents hold them, are
+merge-anti-joined out, the counts of the others go on from what the runs say, by one merge join, and the batch adds its own run at level 0.
+A level that holds ``fanout`` runs is merged into one run of the next level. Runs have the number of buckets that the
+session's shuffles have, so neither joining nor merging moves them.
+
+All runs are partitions of one bucketed table besides, so that one scan brings the rows of a bucket together from any number of
+runs: merging them is one aggregate, which makes a row for each key however many runs there are, and a batch takes part in two joins
+however many runs came before.
 
 The rule needs more than a feed's: a line goes from earlier batches, too, once a later one settles it. As the
 batch with a key's largest id comes first, a settled key names the document that keeps it, and one join of the lines with
@@ -50,27 +53,38 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.names: list[str] = []
+        self.whole: str | None = None
 
     def _write(self, df: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
         self.names.append(name)
         writer = df.select("k1", "k2", "n_docs", "last_doc").write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}")
         writer.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").saveAsTable(name)
+        if self.whole is None:
+            self.whole = f"line_runs_{uuid.uuid4().hex}"
+            columns = "k1 BIGINT, k2 BIGINT, n_docs BIGINT, last_doc BIGINT, run STRING"
+            clustered = f"PARTITIONED BY (run) CLUSTERED BY (k1, k2) SORTED BY (k1, k2) INTO {self.buckets} BUCKETS"
+            self.spark.sql(f"CREATE TABLE {self.whole} ({columns}) USING parquet {clustered} LOCATION '{self._quoted(self.whole)}'")
+        self.spark.sql(f"ALTER TABLE {self.whole} ADD PARTITION (run = '{name}') LOCATION '{self._quoted(name)}'")
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
 
+    def _quoted(self, name: str) -> str:
+        return f"{self.path}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+
     def add(self, keys: DataFrame) -> None:
         """Adds the (k1, k2, doc) rows of a batch of documents that no other batch has."""
-        own = keys.select("k1", "k2", "doc").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
+        own = keys.select("k1", "k2", "doc").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
         names = self._runs()
-        for i, name in enumerate(names):  # counts of a run go on from those before, so the largest says all
-            run = self.spark.table(name).select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("n_docs").alias(f"n_{i}"), F.col("last_doc").alias(f"last_{i}"))
-            own = own.join(run.hint("merge"), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left").drop("r1", "r2")
-        before = F.greatest(F.lit(0), F.lit(0), *[F.col(f"n_{i}") for i in range(len(names))])
-        if self.settle is not None:
-            own = own.filter(before < self.settle)
-        self._write(own.select("k1", "k2", (before + F.col("n")).alias("n_docs"), F.greatest("last", "last", *[f"last_{i}" for i in range(len(names))]).alias("last_doc")), 0)
+        if names:
+            at = (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2"))
+            past = self._merge(names).select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("n_docs").alias("n"), F.col("last_doc").alias("last"))
+            if self.settle is not None:
+                own = own.join(past.filter(F.col("n") >= self.settle).select("r1", "r2").hint("merge"), at, "left_anti")
+            own = own.join(past.hint("merge"), at, "left")
+            own = own.select("k1", "k2", (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
+        self._write(own, 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             merged = self._merge(self.levels[level])
@@ -81,16 +95,9 @@ class LineRuns:
             level += 1
 
     def _merge(self, names: list[str]) -> DataFrame:
-        """Each key's newest row: of an older run, the rows whose keys no newer one has. Newer runs come last."""
-        run = lambda name: self.spark.table(name).select("k1", "k2", "n_docs", "last_doc")
-        whole = run(names[-1])
-        for i, name in enumerate(names[:-1]):
-            own = run(name)
-            for newer in names[i + 1 :]:
-                keys = self.spark.table(newer).select(F.col("k1").alias("r1"), F.col("k2").alias("r2")).hint("merge")
-                own = own.join(keys, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left_anti")
-            whole = whole.union(own)
-        return whole
+        """A row for each key of the runs. Counts of a run go on from those before, so the largest says all."""
+        rows = self.spark.table(self.whole).filter(F.col("run").isin(names))
+        return rows.groupBy("k1", "k2").agg(F.max("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def _runs(self) -> list[str]:
         """All runs, from the oldest on: higher levels hold older batches."""
@@ -115,6 +122,7 @@ class LineRuns:
 
     def _drop(self, name: str) -> None:
         self.names.remove(name)
+        self.spark.sql(f"ALTER TABLE {self.whole} DROP PARTITION (run = '{name}')")
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, f"{self.path}/{name}")
 
@@ -122,7 +130,10 @@ class LineRuns:
         """Removes all runs."""
         for name in list(self.names):
             self._drop(name)
-        self.levels = []
+        if self.whole is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.whole}")
+            remove(self.spark, f"{self.path}/{self.whole}")
+        self.levels, self.whole = [], None
 
     def split(self, lines: DataFrame, min_docs: int, how: str) -> DataFrame:
         """Of rows (k1, k2, doc, ...), those that go ("left_semi") or stay ("left_anti")."""

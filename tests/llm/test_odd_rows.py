@@ -334,6 +334,30 @@ def test_settled_keys_take_no_more(spark):
     assert names and runs.tally().count() == 0 and not any(spark.catalog.tableExists(n) for n in names)
 
 
+def test_merging_more_runs_takes_no_more_joins(spark, monkeypatch):
+    joins, write, tables = [], line_dedup.LineRuns._write, {x.name for x in spark.catalog.listTables()}
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def counted_write(self, df, level):
+        joins.append((level, plan_of(df).count("SortMergeJoin")))
+        write(self, df, level)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", counted_write)
+    runs, held, rng = line_dedup.LineRuns(spark, fanout=3, settle=5), collections.defaultdict(list), np.random.default_rng(4)
+    for b in range(8):
+        batch = [(int(k), -int(k), 100 - 10 * b - i) for i in range(10) for k in rng.integers(0, 60, 8)]
+        runs.add(spark.createDataFrame(batch, "k1 long, k2 long, doc long"))
+        for k in {k for k, _, _ in batch if len(held[k]) < 5}:
+            held[k] += {doc for key, _, doc in batch if key == k}
+    assert {level: max(n for x, n in joins if x == level) for level, _ in joins} == {0: 2, 1: 0}
+    merged = runs._merge(runs._runs())
+    assert len(runs._runs()) == 4 and "Join" not in plan_of(merged) and "Exchange" not in plan_of(merged)
+    rows = merged.collect()  # one row for each key, though runs share keys
+    assert len(rows) == len(held) and {r.k1: (r.k2, r.n_docs, r.last_doc) for r in rows} == {k: (-k, len(d), max(d)) for k, d in held.items()}
+    runs.drop()
+    assert {x.name for x in spark.catalog.listTables()} == tables
+
+
 def test_a_shared_folder_is_asked_for_and_cleared(spark):
     from types import SimpleNamespace as N
 

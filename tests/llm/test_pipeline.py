@@ -4,8 +4,10 @@ import collections
 
 import brute
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from tempolake.llm import line_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +80,22 @@ def test_odd_rows_pass_through(spark, odd, empty):
             now = stage(spark, now, SF)
             assert now.columns == rows.columns
         pipeline.STAGES[-1][1](spark, now, SF).collect()
+
+
+def test_line_dedup_joins_no_runs_with_each_other(spark, monkeypatch):
+    """Four batches, as a table of 200,000 documents has: each key in one document of each batch or nearly so."""
+    joins, write = [], line_dedup.LineRuns._write
+
+    def counted_write(self, df, level):
+        joins.append((level, df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")))
+        write(self, df, level)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", counted_write)
+    n, line = 200_000, F.concat(F.lit("a line of more than twenty characters "), F.col("doc_id") % 50_000)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    docs = docs.withColumn("text", F.concat(line, F.lit("\nshort"))).select(*pipeline.COLUMNS)
+    got = pipeline.line_dedup_stage(spark, docs, SF).withColumn("whole", F.col("text").contains("\n"))
+    assert {(r.whole, r["count"], r.a, r.z) for r in got.groupBy("whole").agg(F.count(F.lit(1)).alias("count"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).collect()} == {
+        (False, 150_000, 0, 149_999), (True, 50_000, 150_000, 199_999)
+    }
+    assert joins == [(0, 0), (0, 2), (0, 2), (1, 0), (0, 2)]

@@ -11,10 +11,11 @@
    by set. Each set is sent once, so near copies are connected by work in proportion to their number.
 4. Sets that are connected now need no comparison. A signature whose holders are all connected goes, and with
    it sets that share too few of the others. ``ROUNDS`` times, what is left meets leads of other components.
-5. What then still shares signatures across components is compared as a whole: families (what has signatures in common)
-   are cut into cells, the largest component of each apart from the others, and each two cells make a tile of bounded
-   size, but for two cells of the largest component. So a family of near copies pays for the sets that
-   aren't connected yet, times all, and not for all pairs.
+5. What then still shares signatures across components is compared as a whole, by families. Two sets are in one family
+   if they share as many signatures as linked sets would, or a frequent one among the rarest of both; sharing a few
+   signatures each with many sets makes no family. Families are cut into cells, the largest component of each apart from the
+   others, and each two cells make a tile of bounded size, but for two cells of the largest component. So a family of near
+   copies pays for the sets that aren't connected yet, times all, and not for all pairs.
 6. Verified links give the components.
 
 Why no link is lost. Let linked sets A and B have a <= b elements, c of them in common, and u in their union, so
@@ -26,8 +27,12 @@ same elements, and at most y of them are beyond B's first S: S - D signatures ar
 It is the same if only B has S parts. b signs at the level of a, too, as it signs at all levels from that of
 ceil(b t) up, and a >= b t; and it signs S(b) >= S(a) parts there. If neither set has so many parts, both also sign their least elements one by one,
 n - ceil(n t) + 1 of n: as c >= t b and c >= t a, A and B have ceil(t b) elements in common, and the least of these is among the first of
-both. Two sets with D = 0 are linked only if they are equal, and make one class. All bounds are in integers, and hold for
-0 < num <= den. (Two different elements, parts or sets may have one 64-bit hash, by chance.)
+both. So linked sets share max(need(A), need(B)) signatures at least, need being 1 for sets that sign elements, and S - D at the least size
+that a set can be linked with for others. Order all signatures by their number of holders: the first one that A and B share has need(A) - 1
+others after it in A, so it is among the first n - need(A) + 1 of A's n signatures, and likewise of B's. Families
+are made of these: the rarest signatures of each set show every link. Two sets with D = 0 are linked only if they are equal,
+and make one class. All bounds are in integers, and hold for 0 < num <= den. (Two different elements, parts or sets may
+have one 64-bit hash, by chance.)
 
 Texts are shuffled once, and of the rest only hashes. The driver holds nothing that
 grows with the table.
@@ -54,6 +59,8 @@ ROUNDS = 1
 HOT, SAMPLE = 2048, 16
 #: The rows of a class are joined in so many parts.
 SALTS = 16
+#: The sets of a signature are paired if there are so many at most; else they are of one family.
+PAIRED = 16
 
 
 def sets_of(text: pa.Array, n: int):
@@ -329,10 +336,35 @@ def _groups(core: DataFrame, sizes: DataFrame) -> DataFrame:
     return leads.union(followers).select(F.concat_ws("-", "lead", "part").alias("tile"), F.lit(None).cast("int").alias("cell"), "node", "comp")
 
 
-def _families(core: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(tile, cell, node, comp) of what has signatures in common, each two cells of a family in a tile, but for its largest component's."""
-    leads = core.groupBy("sig").agg(F.min("set").alias("lead"))
-    families = components(core.join(apart(leads, "sig", "lead"), "sig").filter("set <> lead").select("set", "lead").distinct(), "set", "lead").withColumnRenamed("component", "family")
+def _rarest(core: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sig, held, set, comp, need, size) of each set's signatures, from the rarest up, without the last need - 1."""
+    held = core.groupBy("sig").agg(F.count(F.lit(1)).alias("held"))
+    own = Window.partitionBy("set")  # a set has few signatures, as its size bounds them
+    rows = core.join(apart(held, "sig", "held"), "sig").join(sizes, F.col("set") == F.col("node"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("held", "sig")))
+    return rows.filter("rank <= n - need + 1").select("sig", "held", "set", "comp", "need", "size")
+
+
+def _paired(core: DataFrame, rarest: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): sets of different components that have a signature of few holders among the rarest of both, sizes that can be linked, and as many signatures in common as linked sets."""
+    held = rarest.filter(F.col("held") <= PAIRED).groupBy("sig").agg(F.collect_list(F.struct("set", "comp", "need", "size")).alias("m"))  # PAIRED at most
+    fit = lambda x, y: (x["set"] < y["set"]) & (x["comp"] != y["comp"]) & (F.least(x["size"], y["size"]) * den >= F.greatest(x["size"], y["size"]) * num)
+    pair = lambda x, y: F.struct(x["set"].alias("a"), y["set"].alias("b"), F.greatest(x["need"], y["need"]).alias("least"))
+    pairs = held.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: fit(x, y)), lambda y: pair(x, y))))).alias("p")).select("p.*").distinct()
+    signed = core.groupBy("set").agg(F.collect_list("sig").alias("sigs"))
+    of = lambda side: signed.select(F.col("set").alias(f"{side}_set"), F.col("sigs").alias(f"{side}_sigs"))
+    both = pairs.join(of("a"), F.col("a") == F.col("a_set")).join(of("b"), F.col("b") == F.col("b_set"))
+    return both.filter(F.size(F.array_intersect("a_sigs", "b_sigs")) >= F.col("least")).select("a", "b")
+
+
+def _families(core: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """(tile, cell, node, comp) of what can be linked by its signatures, each two cells of a family in a tile, but for its largest component's."""
+    rarest = stored(_rarest(core, sizes))
+    frequent = rarest.filter(F.col("held") > PAIRED)
+    leads = frequent.groupBy("sig").agg(F.min("set").alias("lead"))
+    alike = frequent.join(apart(leads, "sig", "lead"), "sig").filter("set <> lead").select("set", "lead").distinct()
+    families = components(_paired(core, rarest, num, den).union(alike), "a", "b").withColumnRenamed("component", "family")
+    drop_stored(rarest)
     of = core.select(F.col("set").alias("node"), "comp").distinct().join(families, "node").join(sizes, "node")
     parts = stored(of.groupBy("family", "comp").agg(F.sum("size").alias("size")))
     sums = parts.groupBy("family").agg(F.sum("size").alias("whole"), F.max("size").alias("most"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
@@ -393,7 +425,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
         left = core if labels is None else _core(core.drop("comp").join(apart(labels, "node", "component"), F.col("set") == F.col("node"), "left").select("sig", "set", F.coalesce("component", "set").alias("comp"), "need"))
         if left.isEmpty():
             break
-        tiles = (_groups if turn < ROUNDS else _families)(left, sizes)
+        tiles = _groups(left, sizes) if turn < ROUNDS else _families(left, sizes, num, den)
         # the tokens stream past the small table of tiles, unsorted
         links = _links(sets.join(tiles.hint("shuffle_hash"), F.col("own") == F.col("node")).drop("own"), num, den)
         if labels is not None:

@@ -509,6 +509,41 @@ def test_no_link_is_lost_at_any_threshold():
         pairs += 1
 
 
+def test_sets_that_share_a_little_with_many_make_no_family(spark, monkeypatch):
+    """Each document shares a third with each of three others: enough signatures with all of them, too few with any."""
+    n, sent, compare = 60, [], jaccard._links
+
+    def counted_links(rows, num, den):
+        sent.append(rows.count())
+        return compare(rows, num, den)
+
+    monkeypatch.setattr(jaccard, "CELL_TOKENS", 2000)
+    monkeypatch.setattr(jaccard, "_links", counted_links)
+    block = lambda name: " ".join(f"w{name}x{j}" for j in range(116))
+    docs = [(i, f"{block(i)} {block((i + 1) % n)} {block(f'y{i % (n // 2)}')}") for i in range(n)]
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), n=1, num=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i in range(n)} and all(r.n_shingles == 348 for r in got)
+    assert sent[0] >= n and sum(sent[1:]) <= n  # by leads, and as a whole: not each document for each cell
+
+
+@pytest.mark.parametrize("paired", [0, 3, 16])
+@pytest.mark.parametrize(("n", "num"), [(1, 80), (3, 90), (1, 50)])
+def test_rarest_signatures_show_every_link(spark, monkeypatch, paired, n, num):
+    """Chains that drift away from their first document, so that many links are left for the comparison as a whole."""
+    monkeypatch.setattr(jaccard, "CELL_TOKENS", 3000)
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    rng, texts = np.random.default_rng(13 + n), []
+    for words, most in ((200, 14), (60, 5), (15, 1), (90, 7)):
+        now = [f"a{x}" for x in rng.integers(0, 10**6, words)]
+        for _ in range(60):
+            for at in rng.integers(0, words, int(rng.integers(1, most + 1))):
+                now[int(at)] = f"a{rng.integers(0, 10**6)}"
+            texts.append(" ".join(now))
+    docs = dict(enumerate(texts[int(i)] for i in rng.permutation(len(texts))))
+    got = jaccard.jaccard_components(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), n=n, num=num).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.components({i: brute.shingle_set(t, n) for i, t in docs.items()}, num, 100)
+
+
 def test_similarity_must_be_a_share(odd):
     for num, den in ((0, 100), (-1, 2), (101, 100)):
         with pytest.raises(ValueError, match="similarity"):
